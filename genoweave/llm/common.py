@@ -63,6 +63,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def sample_ids(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most `most` ids, those with the least hashes, so that the sample is the same on every run; written, so small it can be broadcast."""
+    ids = rows.select(F.col(id_col).alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
+    return written(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
+
+
+def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:
+    """Whether crc32 of the id as text leaves that remainder; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)) == rest, F.lit(False))
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null: 0. JVM-side."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, labels, sample_ids
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,12 +21,34 @@ def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sketch as S
+
+    rows = S.edited(S.fingerprints(documents(spark, sf_dir)))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), S.to_text(F.col("sketch")).alias("fingerprint"), S.to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        S.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), S.resemblance(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
+    )
+
+
 def op3_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_shards, write_shards
 
     return read_shards(write_shards(documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
 
+#: Bound of the labelled rows that stand for the trusted target.
+TRUSTED_ROWS = 20_000
+
+
+def op5_log_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    trusted = sample_ids(labels(spark, sf_dir).filter("quality = 1"), TRUSTED_ROWS)
+    rows = quality_rules(documents(spark, sf_dir), trusted)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -42,7 +64,9 @@ def op9_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_kd_tree_sharding": op1_kd_tree_sharding,
+    "op2_bottom_k_sketch": op2_bottom_k_sketch,
     "op3_sorted_string_tables": op3_sorted_string_tables,
+    "op5_log_likelihood_ratio": op5_log_likelihood_ratio,
     "op7_source_mixing": op7_source_mixing,
     "op9_shortest_pack_first": op9_shortest_pack_first,
 }

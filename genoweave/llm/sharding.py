@@ -1,8 +1,8 @@
 """K-d tree sharding: split at distributed weighted medians along the widest metadata dimension.
 
 Every row has a 63-bit key in each dimension: 40 bits of the dimension's value in order, then 23 bits of tie
-breaking (a hash of the text, then one of the id), so that a value that many rows share can be cut and equal
-texts lie side by side. A node that should hold k leaves is cut where floor(k/2)/k of its bytes lie
+breaking (a hash of the text, then one of the id), so that a value that many rows share can be cut. Copies of a
+text lie side by side at one point, so a cut parts the copies of at most one text. A node that should hold k leaves is cut where floor(k/2)/k of its bytes lie
 left. The cut is found by summing bytes into 2^11 key buckets of all nodes at once and refining only each node's
 boundary bucket. Only those sums reach the driver; rows never do.
 """
@@ -39,7 +39,7 @@ def kd_shards(docs: DataFrame, *, leaf_bytes: int | None = None, n_leaves: int |
     """doc_id, size, text_crc32, shard, slot of every row.
 
     size: UTF-8 bytes plus 1, null text: 1. A null in a dimension comes before all values. Rows with equal id
-    and text are apart only by chance of their place in the order, and each keeps its own slot. An empty table gives no rows.
+    and text stay together, each with a slot of its own. An empty table gives no rows.
     Give leaf_bytes (the number of leaves follows from all bytes) or n_leaves.
     """
     narrow = docs.select(
@@ -47,7 +47,7 @@ def kd_shards(docs: DataFrame, *, leaf_bytes: int | None = None, n_leaves: int |
         text_crc32(F.col(text_col)).alias("text_crc32"), F.xxhash64(text_col).alias("__t"), *[F.col(d).alias(f"__d{i}") for i, d in enumerate(dims)],
     )
     names = [f"__d{i}" for i in range(len(dims))]
-    narrow = written(narrow, "kd")
+    narrow = _together(written(narrow, "kd"), names)
     bounded = [d for d in names if not isinstance(narrow.schema[d].dataType, T.StringType)]
     row = narrow.agg(F.sum("size").alias("s"), F.count("*").alias("n"), *[F.min(d).alias(f"lo{d}") for d in bounded], *[F.max(d).alias(f"hi{d}") for d in bounded]).first()
     total, n = row["s"] or 0, row["n"]
@@ -65,6 +65,18 @@ def kd_shards(docs: DataFrame, *, leaf_bytes: int | None = None, n_leaves: int |
     return numbered(rows.select("doc_id", "size", "text_crc32", "shard"), ["shard"], "doc_id", "slot", bucket_count(n // k + 1, 4000))
 
 
+def _together(narrow: DataFrame, names: list[str]) -> DataFrame:
+    """Copies of a text take the dimensions of the copy with the least id, so that they lie at one point of the tree.
+
+    Only texts with several copies are joined; a text with any number of copies is pre-aggregated to one row.
+    """
+    first = narrow.groupBy("__t", "size").agg(F.count("*").alias("n"), F.min_by(F.struct(*names), F.struct("doc_id", *names)).alias("x"))
+    several = written(first.filter("n > 1").drop("n"), "kd")
+    joined = narrow.join(several, ["__t", "size"], "left")
+    own = [F.when(F.col("x").isNotNull(), F.col("x")[d]).otherwise(F.col(d)).alias(d) for d in names]
+    return written(joined.select("doc_id", "size", "text_crc32", "__t", *own), "kd")
+
+
 def _split(rows: DataFrame, leaves: dict[int, int], names: list[str], tolerance: float, spans: dict[str, int]) -> tuple[DataFrame, dict[int, int]]:
     """One level. A node's number is its first leaf's, so leaves end up numbered from left to right."""
     spark = rows.sparkSession
