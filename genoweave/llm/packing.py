@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_count, numbered, written
-from .tokens import encoder
+from .tokens import encoder, widened
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Rests may be cut again at multiples of 1/2, 1/4 or 1/8 of a sequence, if whole rests would pad more than PADDING.
@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, *, id_
             keys = [None if n else int(k) for k, n in zip(batch["k"].tolist(), batch["k"].isna().tolist(), strict=True)]
             rows = []
             for k, ids in zip(keys, enc.encode(batch["t"].tolist()), strict=True):
-                ids += end
+                ids = widened(ids, enc.width) + end
                 total = len(ids) // 4
                 for at in range(0, total, length):
                     own = ids[4 * at : 4 * (at + length)]

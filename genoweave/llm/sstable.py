@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_folder, written
-from .tokens import encoder
+from .tokens import encoder, widened
 
 MAGIC = b"GWSST001"
 FOOTER = struct.Struct("<QQQQQQQBI8s")
@@ -202,7 +202,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str =
         store, root = open_store(base)
         store.create_dir(root, recursive=True)
         enc = encoder(tokenizer)
-        width = 2 if max(enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
+        width = enc.width if end_id < 1 << 16 else 4
         part, path = f"{root}/.part-{shard:06d}-{task.taskAttemptId()}", f"{root}/shard-{shard:06d}.sst"
         out = writer = None
         last, copy = object(), 0
@@ -217,7 +217,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str =
                     writer = Writer(out, width)
                 copy = copy + 1 if k == last else 0
                 last = k
-                writer.add(key_bytes(k, copy), (narrow(ids) if width == 2 else ids) + end)
+                writer.add(key_bytes(k, copy), (ids if width == enc.width else widened(ids, enc.width)) + end)
         if writer is not None:
             writer.close()
             out.close()
@@ -230,12 +230,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str =
     return written(done.withColumn("folder", F.lit(base)), "manifest")
 
 
-def narrow(ids: bytes) -> bytes:
-    import numpy as np
-
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Every document of the shards, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 

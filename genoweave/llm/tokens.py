@@ -8,6 +8,10 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable
+from itertools import islice
+from operator import itemgetter
+
+import numpy as np
 
 # The splitting pattern of byte-level BPE (public), written with the letters, digits and
 # white space of the characters for which the library agrees (tests try them all); OTHER is the rest.
@@ -18,29 +22,35 @@ SPLIT = rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^{SPACE}{LETTER
 OTHER = r"[^\t\n\r\x20-\x7E¡-ɏΑ-ΡΣ-ώА-я–-—‘-„…]"
 
 
-def packed(ids: Iterable[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    out = array("I", ids)
+def packed(ids: Iterable[int], width: int = 4) -> bytes:
+    """Little-endian unsigned integers of that many bytes."""
+    out = array("I" if width == 4 else "H", ids)
     if sys.byteorder == "big":
         out.byteswap()
     return out.tobytes()
 
 
+def widened(ids: bytes, width: int) -> bytes:
+    """As little-endian unsigned 32-bit integers."""
+    return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers.
+    """Ids of whole texts as little-endian unsigned integers of `width` bytes: 2 if the vocabulary allows it, else 4.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in a row; each
     new pre-token goes through the library once and is then remembered. Any text with a character outside
     the agreed set, with the content of an added token, or for another kind of tokenizer, goes through the
-    library whole. The cache is emptied at `most` entries, so memory is bounded.
+    library whole. At `most` entries the older half of the cache is dropped, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.most, self.cache = most, {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.splits = (
@@ -51,27 +61,32 @@ class Encoder:
         added = [re.escape(x["content"]) for x in kind.get("added_tokens") or []]
         self.other = re.compile("|".join([OTHER, *added])).search
 
-    def _whole(self, text: str) -> bytes:
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
 
     def encode(self, texts: Iterable[str | None]) -> Iterable[bytes]:
         for text in texts:
             text = text or ""
             if not self.splits or self.other(text):
-                yield self._whole(text)
+                yield self.whole(text)
                 continue
             parts, cache = self.split(text), self.cache
+            if len(parts) < 2:
+                yield self.whole(text)
+                continue
+            ids_of = itemgetter(*parts)
             try:
-                yield b"".join([cache[p] for p in parts])
+                yield b"".join(ids_of(cache))
                 continue
             except KeyError:
                 pass
             if len(cache) > self.most:
-                cache.clear()
-            new = [p for p in dict.fromkeys(parts) if p not in cache]
+                for p in list(islice(cache, self.most // 2)):
+                    del cache[p]
+            new = [p for p in set(parts) if p not in cache]
             for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[p] = packed(e.ids)
-            yield b"".join([cache[p] for p in parts])
+                cache[p] = packed(e.ids, self.width)
+            yield b"".join(ids_of(cache))
 
 
 _encoders: dict[str, Encoder] = {}
