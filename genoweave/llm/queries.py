@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, labels, sample_ids
+from .common import documents, held_out, labels, sample_ids
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -49,6 +49,14 @@ def op5_log_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as X
+
+    docs, test = documents(spark, sf_dir), held_out(4, 2)
+    rows = X.score(docs, X.train(docs, labels(spark, sf_dir).filter(~test)))
+    return rows.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -62,13 +70,23 @@ def op9_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_crf as L
+
+    docs, test = documents(spark, sf_dir), held_out(3, 1)
+    rows = L.score(docs, L.train(docs, labels(spark, sf_dir).filter(~test)))
+    return rows.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_kd_tree_sharding": op1_kd_tree_sharding,
     "op2_bottom_k_sketch": op2_bottom_k_sketch,
     "op3_sorted_string_tables": op3_sorted_string_tables,
     "op5_log_likelihood_ratio": op5_log_likelihood_ratio,
+    "op6_weighted_lexicon": op6_weighted_lexicon,
     "op7_source_mixing": op7_source_mixing,
     "op9_shortest_pack_first": op9_shortest_pack_first,
+    "op10_line_crf": op10_line_crf,
 }
 
 SQL: dict[str, str] = {}
