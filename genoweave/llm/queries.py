@@ -37,6 +37,12 @@ def op3_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
 
+def op4_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 #: Bound of the labelled rows that stand for the trusted target.
 TRUSTED_ROWS = 20_000
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op1_kd_tree_sharding": op1_kd_tree_sharding,
     "op2_bottom_k_sketch": op2_bottom_k_sketch,
     "op3_sorted_string_tables": op3_sorted_string_tables,
+    "op4_multi_index_hamming": op4_multi_index_hamming,
     "op5_log_likelihood_ratio": op5_log_likelihood_ratio,
     "op6_weighted_lexicon": op6_weighted_lexicon,
     "op7_source_mixing": op7_source_mixing,
