@@ -69,6 +69,14 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import text_crc32
+    from .line_dedup import dedup_lines
+
+    rows = dedup_lines(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_removed", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), text_crc32(F.col("text")).alias("kept_crc32"))
+
+
 def op9_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -92,6 +100,7 @@ QUERIES = {
     "op5_log_likelihood_ratio": op5_log_likelihood_ratio,
     "op6_weighted_lexicon": op6_weighted_lexicon,
     "op7_source_mixing": op7_source_mixing,
+    "op8_deletion_neighbourhood": op8_deletion_neighbourhood,
     "op9_shortest_pack_first": op9_shortest_pack_first,
     "op10_line_crf": op10_line_crf,
 }
