@@ -21,7 +21,11 @@ def sized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     """Narrow rows: doc_id, source, size (words; null text: 0) and a hash of id and size in [0, 2^60)."""
     size = n_words(F.col(text_col)) if size is None else size
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    return rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "size", "source"), 64 - BITS))
+    return rows.withColumn("h", document_hash(F.col("doc_id"), F.col("size"), F.col("source")))
+
+
+def document_hash(doc_id: Column, size: Column, source: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id, size, source), 64 - BITS)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3) -> DataFrame:
@@ -81,3 +85,13 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most: float
     rows = sizes.alias("d").join(cut.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     copies = F.col("s.copies") + (F.col("d.h") < F.col("s.below")).cast("long")
     return rows.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of docs as often as the mix takes it. Texts aren't shuffled; the thresholds are one short row a source."""
+    sizes = written(sized(docs, id_col=id_col, text_col=text_col, source_col=source_col), "sizes")
+    cut = thresholds(sizes, source_targets(sizes, weights, most), most).select(F.col("source").alias("__source"), "copies", "below")
+    rows = docs.join(cut, F.col(source_col).eqNullSafe(F.col("__source")))
+    h = document_hash(F.col(id_col), n_words(F.col(text_col)), F.col(source_col))
+    times = F.col("copies") + (h < F.col("below")).cast("long")
+    return rows.withColumn("__times", times).filter("__times > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -14,7 +14,8 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, sample_ids
@@ -185,10 +186,19 @@ def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col
     """doc_id and score (0 to 1) of every whole text. Null and empty texts match nothing and get the lowest score."""
 
     def run(batches):
-        import pandas as pd
-
         for batch in batches:
             ids = [None if n else int(k) for k, n in zip(batch["k"].tolist(), batch["k"].isna().tolist(), strict=True)]
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "score": [lexicon.score(t or "") for t in batch["t"].tolist()]})
 
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, score double")
+
+
+def score_column(lexicon: Lexicon, text_col: str = "text") -> Column:
+    """The score as a column, so that rows can be filtered where they are."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def toxicity_score(text: pd.Series) -> pd.Series:
+        return pd.Series([lexicon.score(t or "") for t in text])
+
+    return toxicity_score(F.col(text_col))
