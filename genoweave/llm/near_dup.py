@@ -9,8 +9,8 @@ pairs at exactly 0.75 and less above. Candidates within DISTANCE are confirmed o
 
 Equal sets are one node, whatever their number. Within a key's nodes no all-pairs list is made: first each is compared
 with one pivot, picked by hash for each key anew; then, only where a key's nodes still lie in different components, those
-outside its largest component are compared with the rest, in blocks, and only pairs of different components within the
-signature distance come out. Links within a component can't change it, so no component is lost.
+outside its largest component are compared with the rest, in blocks that confirm links at once and give no more of
+them than join the block's components. Links within a component can't change it, so no component is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .hashing import as_long, bloom, id_hash, in_bloom, mix, shingle_set
 SYMBOLS, CHUNKS = 60, 12
 #: Signatures with more differing symbols than this aren't looked at further: at a likeness of 0.75, once in 10^5.
 DISTANCE = 30
-BLOCK = 1000
+BLOCK = 500
 _rng = np.random.default_rng(20_240_501)
 _A = _rng.integers(1, 1 << 63, (SYMBOLS, 1), "uint64") * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, (SYMBOLS, 1), "uint64")
@@ -128,15 +128,14 @@ class _Pairs:
 
         return written(both.select("u", "v", "sig_u", "sig_v").mapInPandas(run, "u long, v long").distinct(), "close")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Links: pairs whose full shingle sets are alike enough. Only documents behind the pairs are shingled again."""
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """node, hashes: full shingle sets of the wanted nodes. Only their documents (and a Bloom filter's few others) are shingled again."""
         firsts = written(self.nodes.join(wanted, "node").select("node", "first"), "wanted")
         words, bits = bloom(firsts.select(id_hash("first").alias("h")), "h")
         shared = self.docs.sparkSession.sparkContext.broadcast(words)
-        shingle, percent = self.shingle, self.percent
+        shingle = self.shingle
 
-        def sets(batches):
+        def run(batches):
             import pyarrow as pa
             import xxhash
 
@@ -149,24 +148,46 @@ class _Pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "hashes"])
 
         rows = self.docs.select(F.col(self.text_col).alias("t"), id_hash(self.id_col).alias("h"))
-        full = rows.mapInArrow(sets, "node long, hashes binary").join(firsts.select("node"), "node", "left_semi")
-        full = written(full, "sets")
+        full = rows.mapInArrow(run, "node long, hashes binary").join(firsts.select("node"), "node", "left_semi")
+        return written(full, "sets")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Links: pairs whose full shingle sets are alike enough."""
+        full = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         both = pairs.join(full.toDF("u", "h_u"), "u").join(full.toDF("v", "h_v"), "v")
+        percent = self.percent
 
         def run(batches):
             for batch in batches:
-                keep = []
-                for a, b in zip(batch["h_u"].tolist(), batch["h_v"].tolist(), strict=True):
-                    a, b = np.frombuffer(a, "uint64"), np.frombuffer(b, "uint64")
-                    n = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(100 * n >= percent * (len(a) + len(b) - n))
+                keep = [alike(np.frombuffer(a, "uint64"), np.frombuffer(b, "uint64"), percent) for a, b in zip(batch["h_u"].tolist(), batch["h_v"].tolist(), strict=True)]
                 yield batch.loc[keep, ["u", "v"]]
 
         return written(both.select("u", "v", "h_u", "h_v").mapInPandas(run, "u long, v long").distinct(), "links")
 
 
-def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key but different components that the signatures allow, compared block by block."""
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets share `percent` of their union."""
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * n >= percent * (len(a) + len(b) - n)
+
+
+def first_shared_slot(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For rows of signatures, the least key position at which keys_of agrees (-1: none)."""
+    width = SYMBOLS // CHUNKS
+    differ = (u != v).reshape(-1, CHUNKS, width)
+    errors = differ.sum(2)
+    chunk = (errors <= 1).argmax(1)
+    own = np.arange(len(differ))
+    found = errors[own, chunk] <= 1
+    return np.where(found, chunk * width + differ[own, chunk].argmax(1), -1)
+
+
+def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, pairs: _Pairs) -> DataFrame:
+    """Links between different components, found key by key and block by block.
+
+    A pair is looked at under the first key it shares only, and no more once its components have been joined within the
+    block; so each block gives fewer links than it has components, whatever the size of a key's group.
+    """
     own = members.join(labels.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_key = own.groupBy("key", "root").agg(F.count("*").alias("n"))
     # A key with one component needs nothing more; one with two nodes has been compared already.
@@ -174,30 +195,49 @@ def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: in
     ranks = ranks.filter("roots > 1 and all > 2")
     rows = own.join(ranks, "key").withColumn("minor", F.col("root") != F.col("main"))
     n_minor = rows.groupBy("key").agg(F.sum(F.col("minor").cast("long")).alias("n_minor"))
-    rows = written(rows.join(n_minor, "key").join(nodes.select("node", "n", "sig"), "node").select("key", "node", "root", "minor", "all", "n_minor", "n", "sig"), "across")
+    rows = written(rows.join(n_minor, "key").select("key", "node", "root", "minor", "all", "n_minor"), "across")
+    full = pairs.sets(rows.select("node").distinct())
+    rows = rows.join(nodes.select("node", "sig"), "node").join(full, "node")
     left, right = F.ceil(F.col("n_minor") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     i, j = F.pmod(F.xxhash64("node"), left), F.pmod(F.xxhash64("node", "key"), right)
     # Every minor row goes to its block row, every row to its block column, once for each block on the other side.
-    as_left = rows.filter("minor").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), right - 1))).withColumn("side", F.lit(0))
-    as_right = rows.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), left - 1))).withColumn("side", F.lit(1))
-    both = as_left.select("key", "i", "j", "side", "node", "root", "n", "sig").unionByName(as_right.select("key", "i", "j", "side", "node", "root", "n", "sig"))
-    limit = DISTANCE
+    at_left = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0), right - 1), lambda x: F.struct(i.alias("i"), x.cast("long").alias("j"), F.lit(0).alias("side"))))
+    at_right = F.transform(F.sequence(F.lit(0), left - 1), lambda x: F.struct(x.cast("long").alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    both = rows.withColumn("at", F.explode(F.concat(F.coalesce(at_left, F.slice(at_right, 1, 0)), at_right)))
+    both = both.select("key", "at.i", "at.j", "at.side", "node", "root", "sig", "hashes")
+    percent = pairs.percent
 
     def run(pdf):
         import pandas as pd
 
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = []
+        out: list[tuple[int, int]] = []
         if len(a) and len(b):
-            sig = np.frombuffer(b"".join(b["sig"].tolist()), "<u2").reshape(-1, SYMBOLS)
-            nodes_b, roots_b, n_b = (b[c].to_numpy("int64") for c in ("node", "root", "n"))
-            for node, root, n, s in zip(a["node"], a["root"], a["n"], a["sig"], strict=True):
-                fit = (roots_b != root) & (100 * np.minimum(n_b, n) >= percent * np.maximum(n_b, n))
-                fit[fit] = (sig[fit] != np.frombuffer(s, "<u2")).sum(1) <= limit
-                out += [(max(node, o), min(node, o)) for o in nodes_b[fit].tolist()]
-        return pd.DataFrame(out, columns=["u", "v"]).drop_duplicates()
-
-    return both.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
+            sig_a, sig_b = (np.frombuffer(b"".join(x["sig"].tolist()), "<u2").reshape(-1, SYMBOLS) for x in (a, b))
+            sets_a, sets_b = ([np.frombuffer(h, "uint64") for h in x["hashes"].tolist()] for x in (a, b))
+            root_a, root_b, node_a, node_b = (x.to_numpy("int64") for x in (a["root"], b["root"], a["node"], b["node"]))
+            n_b = np.array([len(h) for h in sets_b])
+            slot = int((as_long(keys_of(sig_a[:1])[0]) == int(pdf["key"].iloc[0])).argmax())
+            group: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in group:
+                    x = group[x]
+                return x
+
+            for x in range(len(a)):
+                n = len(sets_a[x])
+                fit = np.flatnonzero((root_b != root_a[x]) & (100 * np.minimum(n_b, n) >= percent * np.maximum(n_b, n)))
+                fit = fit[(sig_b[fit] != sig_a[x]).sum(1) <= DISTANCE]
+                fit = fit[first_shared_slot(sig_b[fit], sig_a[x]) == slot] if len(fit) else fit
+                for y in fit.tolist():
+                    p, q = top(int(root_a[x])), top(int(root_b[y]))
+                    if p != q and alike(sets_a[x], sets_b[y], percent):
+                        group[max(p, q)] = min(p, q)
+                        out.append((int(max(node_a[x], node_b[y])), int(min(node_a[x], node_b[y]))))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return written(both.groupBy("key", "i", "j").applyInPandas(run, "u long, v long").distinct(), "across")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,10 +258,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, id_
     pairs = _Pairs(docs, nodes, id_col, text_col, shingle, percent)
     links = pairs.confirmed(pairs.close(first))
     labels = components(links)
-    rest = written(_across(members, nodes, labels, percent).distinct().join(first, ["u", "v"], "left_anti"), "rest")
-    if rest.take(1):
-        links = links.unionByName(pairs.confirmed(rest))
-        labels = components(links)
+    more = _across(members, nodes, labels, pairs)
+    if more.take(1):
+        labels = components(links.unionByName(more))
     joined = nodes.select("node", "first").join(labels.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     of_node = joined.join(ids, "root").select("node", "component_id")
