@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import views  # isort: skip
+from . import q_base, q_network, q_report  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
