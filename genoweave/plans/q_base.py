@@ -104,9 +104,9 @@ def _(t):
     return G.size_filter(t.gene_set, "pathway_id", 10, 40)
 
 
-_WORDS = "SELECT DISTINCT doc_id AS set_id, unnest(string_split(trim(lower(regexp_replace(text, '[ \\n]+', ' ', 'g'))), ' ')) AS item FROM documents WHERE n_chars <= 1200"
+_WORDS = "SELECT DISTINCT doc_id AS set_id, unnest(string_split(trim(lower(regexp_replace(text, '[ \\n]+', ' ', 'g'))), ' ')) AS item FROM documents"
 _PAIRS = (
-    f"w AS (SELECT * FROM ({_WORDS}) WHERE item <> ''), n AS (SELECT set_id, count(*) AS n FROM w GROUP BY 1), "
+    f"w0 AS (SELECT * FROM ({_WORDS}) WHERE item <> ''), n AS (SELECT set_id, count(*) AS n FROM w0 GROUP BY 1 HAVING count(*) BETWEEN 10 AND 300), w AS (SELECT * FROM w0 WHERE set_id IN (SELECT set_id FROM n)), "
     "p AS (SELECT a.set_id AS a, b.set_id AS b, count(*) AS inter FROM w a JOIN w b ON a.item = b.item AND a.set_id < b.set_id GROUP BY 1, 2), "
     "sim AS (SELECT a, b, x.n AS na, y.n AS nb, inter, x.n + y.n - inter AS union_size, inter / (x.n + y.n - inter)::DOUBLE AS jaccard, inter / least(x.n, y.n)::DOUBLE AS overlap FROM p JOIN n x ON a = x.set_id JOIN n y ON b = y.set_id)"
 )

@@ -173,13 +173,13 @@ SQL["driver_topk"] = _merge(
 )
 
 _BSIM = (
-    "bs AS (SELECT * FROM bpm WHERE path1 <= 8), bq AS (SELECT a.path1 AS path1_a, a.path2 AS path2_a, b.path1 AS path1_b, b.path2 AS path2_b, greatest(len(list_intersect(a.ind1, b.ind1)) * len(list_intersect(a.ind2, b.ind2)), len(list_intersect(a.ind1, b.ind2)) * len(list_intersect(a.ind2, b.ind1))) / least(a.size, b.size)::DOUBLE AS sim FROM bs a JOIN bs b ON (a.path1, a.path2) < (b.path1, b.path2))"
+    "bs AS (SELECT * FROM bpm), bq AS (SELECT a.path1 AS path1_a, a.path2 AS path2_a, b.path1 AS path1_b, b.path2 AS path2_b, greatest(len(list_intersect(a.ind1, b.ind1)) * len(list_intersect(a.ind2, b.ind2)), len(list_intersect(a.ind1, b.ind2)) * len(list_intersect(a.ind2, b.ind1))) / least(a.size, b.size)::DOUBLE AS sim FROM bs a JOIN bs b ON (a.path1, a.path2) < (b.path1, b.path2))"
 )
 
 
 @query("bpm_similarity")
 def _(t):
-    return _six(R.bpm_similarity(bpm(t).filter("path1 <= 8"), ["path1", "path2"]), "similarity")
+    return _six(R.bpm_similarity(bpm(t), ["path1", "path2"]), "similarity")
 
 
 SQL["bpm_similarity"] = _merge("bpm", f"{_BSIM} SELECT path1_a, path2_a, path1_b, path2_b, round(sim, 6) AS similarity FROM bq WHERE sim > 0")
@@ -283,9 +283,9 @@ def _(t):
     return s.join(c, "sample_id", "left").agg(F.count_if(F.col("other").isNull()).alias("absent"), F.count_if(F.col("other") != F.col("pheno")).alias("differ"))
 
 
-@query("extract_bed_semi", "variant gene", "SELECT variant_idx FROM variant v WHERE EXISTS (SELECT 1 FROM gene g WHERE g.chrom = v.chrom AND pos BETWEEN s AND e AND gene LIKE '%7')")
+@query("extract_bed_semi", "variant gene", "SELECT variant_idx FROM variant v WHERE EXISTS (SELECT 1 FROM gene g WHERE g.chrom = v.chrom AND pos BETWEEN s AND e)")
 def _(t):
-    return C.within_regions(t.variant, t.gene.filter("gene LIKE '%7'")).select("variant_idx")
+    return C.within_regions(t.variant, t.gene).select("variant_idx")
 
 
 @query("score_projection", "geno tot variant", "SELECT sample_id, round(sum(dosage / sd * w) + any_value(base), 6) AS score FROM geno JOIN (SELECT *, sum(-2 * af / sd * w) OVER () AS base FROM (SELECT variant_idx, af, sqrt(2 * af * (1 - af)) AS sd, (variant_idx % 11 - 5) / 10.0::DOUBLE AS w FROM (SELECT variant_idx, sum(dosage) / (2.0::DOUBLE * any_value(nn)) AS af FROM geno CROSS JOIN tot GROUP BY 1)) WHERE sd > 0) USING (variant_idx) GROUP BY 1")
@@ -369,12 +369,12 @@ def _(t):
 
 @query("king_kinship")
 def _(t):
-    return _six(C.king_kinship(t.genotype.filter("sample_id % 5 = 0")), "kinship")
+    return _six(C.king_kinship(t.genotype), "kinship")
 
 
 SQL["king_kinship"] = _merge(
     "geno",
-    "k AS (SELECT * FROM geno WHERE sample_id % 5 = 0), o AS (SELECT sample_id, count(*) FILTER (dosage = 1) AS het, count(*) FILTER (dosage = 2) AS hom FROM k GROUP BY 1), "
+    "k AS (SELECT * FROM geno), o AS (SELECT sample_id, count(*) FILTER (dosage = 1) AS het, count(*) FILTER (dosage = 2) AS hom FROM k GROUP BY 1), "
     "b AS (SELECT x.sample_id AS a, y.sample_id AS b, count(*) FILTER (x.dosage = 1 AND y.dosage = 1) AS hethet, count(*) FILTER (x.dosage = 2) AS ha, count(*) FILTER (y.dosage = 2) AS hb FROM k x JOIN k y ON x.variant_idx = y.variant_idx AND x.sample_id < y.sample_id GROUP BY 1, 2) "
     "SELECT b.a, b.b, hethet, p.hom - ha + q.hom - hb AS ibs0, round((hethet - 2.0::DOUBLE * (p.hom - ha + q.hom - hb)) / nullif(p.het + q.het, 0), 6) AS kinship FROM b JOIN o p ON p.sample_id = b.a JOIN o q ON q.sample_id = b.b",
 )

@@ -14,6 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sets import size_filter
+
 
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -58,9 +60,10 @@ class Fixtures:
 
     @cached_property
     def word_set(self) -> DataFrame:
-        """set_id, item: distinct lower-cased words of short documents."""
+        """set_id, item: distinct lower-cased words of documents; sets of 10 to 300 words, as gene sets are filtered."""
         words = F.explode(F.array_distinct(F.split(F.trim(F.lower(F.regexp_replace("text", r"[ \n]+", " "))), " ")))
-        return self.table("documents").filter("n_chars <= 1200").select(F.col("doc_id").alias("set_id"), words.alias("item")).filter("item <> ''")
+        rows = self.table("documents").select(F.col("doc_id").alias("set_id"), words.alias("item")).filter("item <> ''")
+        return rows.join(size_filter(rows, "set_id", 10, 300).select("set_id"), "set_id", "left_semi")
 
     @cached_property
     def coordinate(self) -> DataFrame:
