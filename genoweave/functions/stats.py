@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 1e-10
 _SMALL = [math.lgamma(n + 1) for n in range(16)]
@@ -69,13 +70,13 @@ def mann_whitney_z(rank_in: Column, n_in: Column, n_out: Column, ties: Column) -
     return F.when(var > 0, (rank_in - n1 * (n1 + 1.0) / 2.0 - n1 * n2 / 2.0 - 0.5) / F.sqrt(var))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """P(Z > z); 1 for a missing z. Runs on module rows only."""
     return z.map(lambda v: 1.0 if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(stat: pd.Series) -> pd.Series:
     """P(chi-square with one degree of freedom > stat); 1 for a missing stat."""
     return stat.map(lambda v: 1.0 if pd.isna(v) else math.erfc(math.sqrt(v / 2.0)))
