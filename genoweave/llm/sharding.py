@@ -119,7 +119,7 @@ def _split(rows: DataFrame, leaves: dict[int, int], names: list[str], tolerance:
     placed = rows.join(F.broadcast(spark.createDataFrame(table, "shard int, dim int, cut long, half int")), "shard", "left")
     moved = F.when(key > F.col("cut"), F.col("shard") + F.col("half")).otherwise(F.col("shard"))
     out = written(placed.select("doc_id", "size", "text_crc32", *names, moved.alias("shard")), "kd")
-    after = {s: k for s, k in leaves.items() if s not in cuts}
+    after = {s: 1 for s in leaves if s not in cuts}  # leaves, and nodes without rows
     for s in cuts:
         after |= {s: leaves[s] // 2, s + leaves[s] // 2: leaves[s] - leaves[s] // 2}
     return out, after
