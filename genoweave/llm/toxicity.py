@@ -107,7 +107,8 @@ def learn(texts: list[str], toxic: list[int], seeds: tuple[str, ...] = SEEDS, ex
     explains most toxic rows not yet explained, less a penalty for other rows, first, and of beginnings with the same rows the longest.
     """
     n_toxic, n_rest = sum(toxic), len(toxic) - sum(toxic)
-    words = [set(_words(fold(text or ""))) for text in texts]
+    one: dict[str, str] = {}  # each word is held once, however many rows have it
+    words = [{one.setdefault(w, w) for w in _words(fold(text or ""))} for text in texts]
     least = max(2, n_toxic // 500)
     # Entries by length: a beginning is counted only if the one a letter shorter was frequent in toxic rows.
     in_toxic: Counter = Counter()
