@@ -23,14 +23,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hash of each word ([^\\x20\\x09-\\x0D]+), A-Z lower-cased, in order."""
+    return words_and_lines(text)[0]
+
+
+def words_and_lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, and for each line (between \\n) the number of words before its end."""
     global _POWERS
     if not text:
-        return np.zeros(0, "uint64")
+        return np.zeros(0, "uint64"), np.zeros(1, "int64")
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), "u1")  # bytes.lower() changes A-Z only
     letter = ~_SPACE[data]
     own = data[letter].astype("uint64") + np.uint64(1)
     if not len(own):
-        return own
+        return own, np.zeros(1 + int((data == 10).sum()), "int64")
     edge = letter.copy()
     edge[1:] &= ~letter[:-1]  # first bytes of words
     starts = (np.cumsum(letter) - 1)[edge]
@@ -41,7 +46,8 @@ def word_hashes(text: str | None) -> np.ndarray:
         factors[0] = 1
         _POWERS = np.multiply.accumulate(factors)
     place = np.arange(len(own)) - np.repeat(starts, sizes)
-    return mix(np.add.reduceat(own * _POWERS[place], starts))
+    ends = np.append(np.searchsorted(np.flatnonzero(edge), np.flatnonzero(data == 10)), len(starts))
+    return mix(np.add.reduceat(own * _POWERS[place], starts)), ends
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

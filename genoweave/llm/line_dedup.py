@@ -4,10 +4,10 @@ Two lines are alike if their words (A-Z lower-cased) are within one word edit: a
 line is removed if an earlier line, by (doc_id, line number), is equal or alike; the earliest stays. Lines of fewer than MIN_WORDS words
 are never touched, lines of fewer than NEAR_WORDS words only as exact repeats.
 
-1. Each line becomes a hash and, from NEAR_WORDS words on, four half keys: lines within one edit share their first or
-   last ceil((m - 1) / 2) words, m being the longer one's number of words. Lines whose half keys no other line has
-   can't have a partner and go no further.
-2. The others emit their deletion variants: the line without its i-th word, for every i in the half that the shared key leaves open.
+1. Each line becomes a hash and, from NEAR_WORDS words on, keys of all its words but one third: an edit lies in one third of the
+   longer line's m words, and lines within one edit agree outside it. So each line has three keys as the longer line (m its own number
+   of words) and three as the shorter one. Lines whose keys no other line has can't have a partner and go no further.
+2. The others emit their deletion variants: the line without its i-th word, for every i in a third that a shared key leaves open.
    Equal variants with equal i are a replaced word; a variant equal to a whole line is a word put in.
 3. Of each variant's lines only the earliest matters, so variants are aggregated to their earliest line, never
    paired off; a template line with a million fillings is one group. A line and that earliest one are verified on their words.
@@ -19,145 +19,148 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .hashing import as_long, bloom, in_bloom, mix, word_hashes
+from .common import release, written
+from .hashing import as_long, bloom, in_bloom, mix, words_and_lines
 
 MIN_WORDS, NEAR_WORDS = 5, 8
 _M = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _INVERSE = pow(_M, -1, 1 << 64)
+_U = np.uint64
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(max(1, n), base, "uint64")
-    out[0] = 1
-    return np.multiply.accumulate(out)
+class _Powers:
+    """Powers of _M and of its inverse, as many as the longest line has needed."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, "uint64")
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    def reach(self, n: int) -> None:
+        if n > len(self.up):
+            self.up, self.down = (np.multiply.accumulate(np.where(np.arange(2 * n) == 0, _U(1), _U(b))) for b in (_M, _INVERSE))
 
 
-def _mixed(*values: int) -> int:
-    return int(mix(np.array([sum(v * (2 * i + 1) for i, v in enumerate(values)) & _MASK], "uint64"))[0])
+_powers = _Powers()
 
 
-def half_sizes(n: int) -> list[tuple[int, int]]:
-    """(m, words in a half) for partners no longer and one word longer."""
-    return [(m, m // 2) for m in (n, n + 1)]
+def _hash(*values: np.ndarray) -> np.ndarray:
+    return mix(sum(v * _U(2 * i + 1) for i, v in enumerate(values)))
 
 
-def split_lines(text: str):
-    """(line number, word hashes) of the lines with MIN_WORDS words or more."""
-    h, at = word_hashes(text), 0
-    for i, line in enumerate(text.split("\n")):
-        n = len(line.encode("utf-8", "surrogatepass").split()) if line else 0
-        if n >= MIN_WORDS:
-            yield i, h[at : at + n]
-        at += n
+class Lines:
+    """Of a text, all at once: number, words n, hash h and keys (lines x 6) of the lines with MIN_WORDS words or more.
 
+    With line-relative powers summed up over the text, any run of a line's words is a difference of two sums.
+    keys[:, 0:3]: the words outside the last, middle and first third, for m = n; keys[:, 3:6]: for m = n + 1.
+    """
 
-def line_keys(h: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[int, list[int]]:
-    """Hash of a line, and its half keys (none for a short line): for each of half_sizes first and last words."""
-    n = len(h)
-    run = np.cumsum(h * up[:n])
-    whole = _mixed(int(run[-1]), n)
-    keys = []
-    if n >= NEAR_WORDS:
-        for m, size in half_sizes(n):
-            keys.append(_mixed(int(run[size - 1]), m, 1))
-            s = n - size
-            keys.append(_mixed((int(run[-1]) - int(run[s - 1])) * int(down[s]) & _MASK, m, 2))
-    return whole, keys
+    def __init__(self, text: str):
+        words, ends = words_and_lines(text)
+        n = np.diff(ends, prepend=0)
+        _powers.reach(int(n.max()) + 2)
+        first = ends - n
+        place = np.arange(len(words)) - np.repeat(first, n)
+        sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(words * _powers.up[place], dtype="uint64")])
+        self.number = np.flatnonzero(n >= MIN_WORDS)
+        self.n, s, e = n[self.number], first[self.number], ends[self.number]
+        self.h = _hash(sums[e] - sums[s], self.n.astype("uint64"))
+        self.near = self.n >= NEAR_WORDS
+        self.keys = np.zeros((len(s), 6), "uint64")
+        head, tail = sums[s], sums[e]
+        for i, m in ((0, self.n), (3, self.n + 1)):
+            a, b, size = m // 3, 2 * m // 3, m.astype("uint64")
+            after_b, after_a = ((tail - sums[e - k]) * _powers.down[self.n - k] for k in (m - b, m - a))
+            self.keys[:, i] = _hash(sums[s + b] - head, size, np.full(len(m), 1, "uint64"))
+            self.keys[:, i + 1] = _hash(sums[s + a] - head, size, after_b)
+            self.keys[:, i + 2] = _hash(after_a, size, np.full(len(m), 3, "uint64"))
+
+
+#: Texts are worked through together, up to so many characters, to spare calls.
+TOGETHER = 200_000
+
+
+def _together(texts: list[str | None]):
+    """(texts joined, Lines of it, each line's text, its number there): for one run of texts after another.
+
+    Joined by a line break, texts keep their lines.
+    """
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size < TOGETHER):
+            size += len(texts[hi] or "")
+            hi += 1
+        part = [t or "" for t in texts[lo:hi]]
+        joined = "\n".join(part)
+        own = Lines(joined)
+        starts = np.cumsum([0] + [t.count("\n") + 1 for t in part])
+        at = np.searchsorted(starts, own.number, side="right") - 1
+        yield joined, own, lo + at, own.number - starts[at]
+        lo = hi
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line, h, keys of every line with MIN_WORDS words or more."""
+    """doc_id, line, h and keys k0 to k5 (null: a short line) of every line with MIN_WORDS words or more."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        up, down = _powers(1 << 12, _M), _powers(1 << 12, _INVERSE)
         for batch in batches:
-            rows = []
-            for k, null, text in zip(batch["k"].tolist(), batch["k"].isna().tolist(), batch["t"].tolist(), strict=True):
-                for i, h in split_lines(text or ""):
-                    if len(h) > len(up):
-                        up, down = _powers(2 * len(h), _M), _powers(2 * len(h), _INVERSE)
-                    whole, keys = line_keys(h, up, down)
-                    rows.append((None if null else int(k), i, _signed(whole), [_signed(x) for x in keys]))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "line", "h", "keys"]).astype({"doc_id": "Int64"})
-                    rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "h", "keys"]).astype({"doc_id": "Int64"})
+            for _, own, at, line in _together(batch.column(1).to_pylist()):
+                columns = [batch.column(0).take(pa.array(at)), pa.array(line.astype("int32")), pa.array(as_long(own.h))]
+                columns += [pa.array(as_long(np.ascontiguousarray(own.keys[:, i])), mask=~own.near) for i in range(6)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "h", *KEYS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, "doc_id long, line int, h long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id long, line int, h long, {', '.join(f'{k} long' for k in KEYS)}")
 
 
-def _place_hash():
-    """A line's place and content as one hash; the same is computed in _texts."""
-    return F.col("h").bitwiseXOR(F.shiftleft(F.coalesce(F.col("doc_id"), F.lit(0)), 20)).bitwiseXOR(F.col("line").cast("long"))
+KEYS = [f"k{i}" for i in range(6)]
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h, doc_id, line, words of the wanted lines, from one more pass over the texts; a Bloom filter passes few others."""
-    words, bits = bloom(wanted.select(_place_hash().alias("p")), "p")
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def _texts(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h, doc_id, line, words, open of the lines with a shared key, from one more pass over the texts.
+
+    open: which of the six keys. The shared keys come as a Bloom filter, so a few others pass too.
+    """
+    words, bits = bloom(shared, "key")
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        up = _powers(1 << 12, _M)
         for batch in batches:
-            rows = []
-            for k, null, text in zip(batch["k"].tolist(), batch["k"].isna().tolist(), batch["t"].tolist(), strict=True):
-                found = list(split_lines(text or ""))
-                if not found:
+            for joined, own, at, line in _together(batch.column(1).to_pylist()):
+                open_ = in_bloom(sent.value, bits, own.keys.ravel()).reshape(-1, 6) & own.near[:, None]
+                hit = np.flatnonzero(open_.any(1))
+                if not len(hit):
                     continue
-                k = 0 if null else int(k)
-                sums = []
-                for _, h in found:
-                    if len(h) > len(up):
-                        up = _powers(2 * len(h), _M)
-                    sums.append((int((h * up[: len(h)]).sum()) + 3 * len(h)) & _MASK)
-                whole = mix(np.array(sums, "uint64"))
-                places = whole ^ np.uint64((k << 20) & _MASK) ^ np.array([i for i, _ in found], "uint64")
-                lines = None
-                for at in np.flatnonzero(in_bloom(shared.value, bits, places)):
-                    lines = lines or text.split("\n")
-                    i = found[at][0]
-                    own = lines[i].encode("utf-8", "surrogatepass").lower().split()
-                    rows.append((_signed(int(whole[at])), None if null else k, i, b" ".join(own)))
-            yield pd.DataFrame(rows, columns=["h", "doc_id", "line", "words"]).astype({"doc_id": "Int64"})
+                lines = joined.split("\n")
+                texts = [b" ".join(lines[i].encode("utf-8", "surrogatepass").lower().split()) for i in own.number[hit].tolist()]
+                opens = (open_[hit] @ (1 << np.arange(6))).astype("int32")
+                columns = [pa.array(as_long(own.h[hit])), batch.column(0).take(pa.array(at[hit])), pa.array(line[hit].astype("int32")), pa.array(texts, pa.binary()), pa.array(opens)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "words", "open"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, "h long, doc_id long, line int, words binary")
+    return rows.mapInArrow(run, "h long, doc_id long, line int, words binary, open int")
 
 
-def variants(words: bytes, open_: set[int]) -> list[tuple[int, int]]:
-    """(key, role) of a line's deletion variants. Roles: 0 a word replaced at i, 1 the line itself, 2 the line without a word.
+def variants(words: bytes, open_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and roles of a line's deletion variants. Roles: 0 a word replaced at i, 1 the line itself, 2 the line without a word.
 
-    open_ has the half keys that other lines share; a variant is needed only where such a half leaves the place open.
+    open_ says which keys other lines share. A word is left out only in the thirds that shared keys for m = n leave open;
+    for a longer partner the line itself is enough.
     """
-    h = word_hashes(words.decode("utf-8", "surrogatepass"))
+    h, _ = words_and_lines(words.decode("utf-8", "surrogatepass"))
     n = len(h)
-    up, down = _powers(n + 1, _M), _powers(n + 1, _INVERSE)
-    _, keys = line_keys(h, up, down)
-    places: set[int] = set()
-    for j, (_, size) in enumerate(half_sizes(n)):
-        if _signed(keys[2 * j]) in open_:
-            places.update(range(size, n))
-        if _signed(keys[2 * j + 1]) in open_:
-            places.update(range(n - size))
-    run = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:n])]).astype("uint64")
-    total = run[-1]
-    i = np.array(sorted(places), "int64")
-    without = run[i] + (total - run[i + 1]) * np.uint64(_INVERSE)  # words after i move one place down
-    v = mix(without + np.uint64(3 * (n - 1)))
-    same = mix(v + (i.astype("uint64") + np.uint64(1)) * np.uint64(_M))
-    whole = mix(np.array([int(total) + 3 * n & _MASK], "uint64"))
-    return [*((x, 0) for x in as_long(same).tolist()), *((x, 2) for x in as_long(v).tolist()), (int(as_long(whole)[0]), 1)]
+    _powers.reach(n + 2)
+    a, b = n // 3, 2 * n // 3
+    i = np.concatenate([np.arange(lo, hi) for bit, lo, hi in ((4, 0, a), (2, a, b), (1, b, n)) if open_ & bit] or [np.zeros(0, "int64")])
+    run = np.concatenate([np.zeros(1, "uint64"), np.cumsum(h * _powers.up[:n], dtype="uint64")])
+    without = run[i] + (run[-1] - run[i + 1]) * _U(_INVERSE)  # words after i move one place down
+    v = _hash(without, np.full(len(i), n - 1, "uint64"))
+    same = mix(v + (i.astype("uint64") + _U(1)) * _U(_M))
+    whole = _hash(run[-1:], np.full(1, n, "uint64"))
+    return as_long(np.concatenate([same, v, whole])), np.repeat(np.array([0, 2, 1], "int32"), [len(i), len(i), 1])
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -173,30 +176,30 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
 def removable(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line of every line to remove."""
     lines = written(line_table(docs, id_col, text_col), "lines")
-    first = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max(F.size("keys") > 0).alias("near")), "first-lines")
-    halves = lines.filter(F.size("keys") > 0).select("h", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    open_ = halves.join(shared, "key").groupBy("h").agg(F.collect_set("key").alias("open"))  # at most four a line
-    wanted = written(open_.join(first, "h").select("h", "at.doc_id", "at.line", "open"), "wanted")
-    texts = _texts(docs, wanted, id_col, text_col).dropDuplicates(["h", "doc_id", "line"])
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.line") == F.col("r.line")) & (F.col("l.h") == F.col("r.h"))
-    texts = written(texts.alias("l").join(wanted.alias("r"), same).select("l.*", "r.open"), "texts")
+    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
+    first = written(first.select("h", "n", "at.doc_id", "at.line"), "first-lines")
+    keyed = lines.filter("k0 is not null").select("h", F.explode(F.array(*KEYS)).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"), "shared")
+    release(docs.sparkSession)
+    texts = _texts(docs, shared, id_col, text_col).alias("l")
+    same = (F.col("l.h") == F.col("r.h")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.line") == F.col("r.line"))
+    texts = written(texts.join(first.alias("r"), same, "left_semi").dropDuplicates(["h"]), "texts")
 
     def emit(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
-                own = [variants(w, set(o.tolist())) for w, o in zip(part["words"].tolist(), part["open"].tolist(), strict=True)]
-                size = [len(x) for x in own]
-                flat = [x for y in own for x in y]
-                out = pd.DataFrame(flat, columns=["key", "role"]).astype({"role": "int32"})
-                for c in ("h", "doc_id", "line"):
-                    out[c] = part[c].repeat(size).to_numpy()
-                yield out.astype({"doc_id": "Int64"})
-
-    rows = written(texts.select("h", "doc_id", "line", "words", "open").mapInPandas(emit, "key long, role int, h long, doc_id long, line int"), "variants")
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                own = [variants(w, o) for w, o in zip(part.column("words").to_pylist(), part.column("open").to_pylist(), strict=True)]
+                at = pa.array(np.repeat(np.arange(len(own)), [len(k) for k, _ in own]))
+                columns = [pa.array(np.concatenate([k for k, _ in own])), pa.array(np.concatenate([r for _, r in own]))]
+                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c).take(at) for c in ("h", "doc_id", "line"))], ["key", "role", "h", "doc_id", "line"])
+
+    rows = written(texts.select("words", "open", "h", "doc_id", "line").mapInArrow(emit, "key long, role int, h long, doc_id long, line int"), "variants")
+    # Of a variant's lines the earliest counts; a variant of one line alone is of no use.
+    several = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
+    rows = written(rows.join(several, "key"), "shared-variants")
     at = F.struct("doc_id", "line", "h")
     least = rows.groupBy("key", "role").agg(F.min(at).alias("least"))
     # A replaced word meets its like; a whole line meets lines that are it plus a word, and the other way round.
@@ -211,9 +214,9 @@ def removable(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             yield batch.loc[ok, ["h"]]
 
     near = written(pairs.select("h", "words", "words2").mapInPandas(verify, "h long").distinct().withColumn("near", F.lit(True)), "near-lines")
-    kept = first.select("h", F.col("at").alias("first")).join(near, "h", "left")
+    changed = first.join(near, "h", "left").filter("n > 1 or near").select("h", F.struct("doc_id", "line").alias("first"), "near")
     again = ~F.struct(F.col("doc_id"), F.col("line")).eqNullSafe(F.col("first"))
-    return lines.select("h", "doc_id", "line").join(kept, "h").filter(F.col("near").isNotNull() | again).select("doc_id", "line")
+    return lines.select("h", "doc_id", "line").join(changed, "h").filter(F.col("near").isNotNull() | again).select("doc_id", "line")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,6 +227,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     gone = removable(docs, id_col=id_col, text_col=text_col)
     gone = written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id"), "gone-lines")
+    release(docs.sparkSession)
     joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
