@@ -228,7 +228,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = removable(docs, id_col=id_col, text_col=text_col)
     gone = written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id"), "gone-lines")
     release(docs.sparkSession)
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+    # Always a shuffled join: the list of lines grows with the input, and small inputs shall take the same way.
+    joined = docs.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return joined.select(
