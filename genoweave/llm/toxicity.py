@@ -9,6 +9,7 @@ exception phrase doesn't count. The sum of weights, as such and for each hundred
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -179,8 +180,17 @@ def train(docs: DataFrame, labelled: DataFrame, *, rows: int = SAMPLE_ROWS, id_c
     known = labelled.filter(F.col(label_col).isNotNull())
     halves = [sample_ids(known.filter(F.col(label_col) == y), rows // 2, id_col).withColumn("y", F.lit(y)) for y in (0, 1)]
     ids = halves[0].unionByName(halves[1]).withColumnRenamed("doc_id", "__id")
-    found = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("t", "y").toPandas()
-    return learn(found["t"].tolist(), found["y"].tolist())
+    found = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("t", "y")
+
+    def fit(batches):  # in one task over the bounded sample, so neither its texts nor the work are the driver's
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch["t"].tolist()
+            marks += batch["y"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(learn(texts, marks))]})
+
+    model = found.repartition(1).mapInPandas(fit, "model binary").first()
+    return pickle.loads(bytes(model["model"])) if model else learn([], [])
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
