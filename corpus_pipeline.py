@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoweave.llm.common import held_out, labels, new_folder
-from genoweave.llm.line_dedup import dedup_lines
+from genoweave.llm.line_dedup import WHOLE, dedup_lines
 from genoweave.llm.mixing import mixed_rows
 from genoweave.llm.near_dup import near_duplicates
 from genoweave.llm.packing import pack_documents
@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts; a document that had lines and keeps none goes. n_chars follows the text."""
-    rows = dedup_lines(docs)
+    rows = dedup_lines(docs, **WHOLE)
     rows = rows.filter((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " "))) > 0))
     return rows.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

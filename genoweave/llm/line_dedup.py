@@ -1,10 +1,10 @@
 """Line de-duplication by deletion neighbourhoods.
 
 Two lines are alike if their words (A-Z lower-cased) are within one word edit: a word replaced, put in or left out. A
-line is removed if an earlier line, by (doc_id, line number), is equal or alike; the earliest stays. Lines of fewer than MIN_WORDS words
-are never touched, lines of fewer than NEAR_WORDS words only as exact repeats.
+line is removed if an earlier line, by (doc_id, line number), is equal or alike; the earliest stays. Lines of fewer than min_words words
+are never touched, lines of fewer than near_words words only as exact repeats. The queries take WHOLE: every line with a word.
 
-1. Each line becomes a hash and, from NEAR_WORDS words on, keys of all its words but one third: an edit lies in one third of the
+1. Each line becomes a hash and, from near_words words on, keys of all its words but one third: an edit lies in one third of the
    longer line's m words, and lines within one edit agree outside it. So each line has three keys as the longer line (m its own number
    of words) and three as the shorter one. Lines whose keys no other line has can't have a partner and go no further.
 2. The others emit their deletion variants: the line without its i-th word, for every i in a third that a shared key leaves open.
@@ -23,6 +23,8 @@ from .common import release, written
 from .hashing import as_long, bloom, in_bloom, mix, words_and_lines
 
 MIN_WORDS, NEAR_WORDS = 5, 8
+#: Every line with a word counts; a third is the least part of a line that can hold its edit.
+WHOLE = {"min_words": 1, "near_words": 3}
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
 _U = np.uint64
@@ -47,23 +49,23 @@ def _hash(*values: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Of a text, all at once: number, words n, hash h and keys (lines x 6) of the lines with MIN_WORDS words or more.
+    """Of a text, all at once: number, words n, hash h and keys (lines x 6) of the lines with min_words words or more.
 
     With line-relative powers summed up over the text, any run of a line's words is a difference of two sums.
     keys[:, 0:3]: the words outside the last, middle and first third, for m = n; keys[:, 3:6]: for m = n + 1.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, min_words: int, near_words: int):
         words, ends = words_and_lines(text)
         n = np.diff(ends, prepend=0)
         _powers.reach(int(n.max()) + 2)
         first = ends - n
         place = np.arange(len(words)) - np.repeat(first, n)
         sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(words * _powers.up[place], dtype="uint64")])
-        self.number = np.flatnonzero(n >= MIN_WORDS)
+        self.number = np.flatnonzero(n >= min_words)
         self.n, s, e = n[self.number], first[self.number], ends[self.number]
         self.h = _hash(sums[e] - sums[s], self.n.astype("uint64"))
-        self.near = self.n >= NEAR_WORDS
+        self.near = self.n >= near_words
         self.keys = np.zeros((len(s), 6), "uint64")
         head, tail = sums[s], sums[e]
         for i, m in ((0, self.n), (3, self.n + 1)):
@@ -78,7 +80,7 @@ class Lines:
 TOGETHER = 200_000
 
 
-def _together(texts: list[str | None]):
+def _together(texts: list[str | None], min_words: int, near_words: int):
     """(texts joined, Lines of it, each line's text, its number there): for one run of texts after another.
 
     Joined by a line break, texts keep their lines.
@@ -91,21 +93,21 @@ def _together(texts: list[str | None]):
             hi += 1
         part = [t or "" for t in texts[lo:hi]]
         joined = "\n".join(part)
-        own = Lines(joined)
+        own = Lines(joined, min_words, near_words)
         starts = np.cumsum([0] + [t.count("\n") + 1 for t in part])
         at = np.searchsorted(starts, own.number, side="right") - 1
         yield joined, own, lo + at, own.number - starts[at]
         lo = hi
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line, h and keys k0 to k5 (null: a short line) of every line with MIN_WORDS words or more."""
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int) -> DataFrame:
+    """doc_id, line, h and keys k0 to k5 (null: a short line) of every line with min_words words or more."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for _, own, at, line in _together(batch.column(1).to_pylist()):
+            for _, own, at, line in _together(batch.column(1).to_pylist(), min_words, near_words):
                 columns = [batch.column(0).take(pa.array(at)), pa.array(line.astype("int32")), pa.array(as_long(own.h))]
                 columns += [pa.array(as_long(np.ascontiguousarray(own.keys[:, i])), mask=~own.near) for i in range(6)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "h", *KEYS])
@@ -117,7 +119,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 KEYS = [f"k{i}" for i in range(6)]
 
 
-def _texts(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int) -> DataFrame:
     """h, doc_id, line, words, open of the lines with a shared key, from one more pass over the texts.
 
     open: which of the six keys. The shared keys come as a Bloom filter, so a few others pass too.
@@ -129,7 +131,7 @@ def _texts(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            for joined, own, at, line in _together(batch.column(1).to_pylist()):
+            for joined, own, at, line in _together(batch.column(1).to_pylist(), min_words, near_words):
                 open_ = in_bloom(sent.value, bits, own.keys.ravel()).reshape(-1, 6) & own.near[:, None]
                 hit = np.flatnonzero(open_.any(1))
                 if not len(hit):
@@ -173,15 +175,15 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def removable(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line of every line to remove."""
-    lines = written(line_table(docs, id_col, text_col), "lines")
+    lines = written(line_table(docs, id_col, text_col, min_words, near_words), "lines")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
     first = written(first.select("h", "n", "at.doc_id", "at.line"), "first-lines")
     keyed = lines.filter("k0 is not null").select("h", F.explode(F.array(*KEYS)).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"), "shared")
     release(docs.sparkSession)
-    texts = _texts(docs, shared, id_col, text_col).alias("l")
+    texts = _texts(docs, shared, id_col, text_col, min_words, near_words).alias("l")
     same = (F.col("l.h") == F.col("r.h")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.line") == F.col("r.line"))
     texts = written(texts.join(first.alias("r"), same, "left_semi").dropDuplicates(["h"]), "texts")
 
@@ -219,13 +221,13 @@ def removable(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return lines.select("h", "doc_id", "line").join(changed, "h").filter(F.col("near").isNotNull() | again).select("doc_id", "line")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removable lines taken out of the text, and n_lines and n_removed.
 
     Null text stays null (no lines). A text that loses all its lines becomes empty. Rows that share an id count as one
     document, so a line they share at the same place stays in both. Other columns stay as they are.
     """
-    gone = removable(docs, id_col=id_col, text_col=text_col)
+    gone = removable(docs, min_words=min_words, near_words=near_words, id_col=id_col, text_col=text_col)
     gone = written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id"), "gone-lines")
     release(docs.sparkSession)
     # Always a shuffled join: the list of lines grows with the input, and small inputs shall take the same way.

@@ -71,9 +71,9 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import text_crc32
-    from .line_dedup import dedup_lines
+    from .line_dedup import WHOLE, dedup_lines
 
-    rows = dedup_lines(documents(spark, sf_dir))
+    rows = dedup_lines(documents(spark, sf_dir), **WHOLE)
     return rows.select("doc_id", "n_lines", "n_removed", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), text_crc32(F.col("text")).alias("kept_crc32"))
 
 
