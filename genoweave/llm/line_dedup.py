@@ -11,6 +11,11 @@ are never touched, lines of fewer than near_words words only as exact repeats. T
    Equal variants with equal i are a replaced word; a variant equal to a whole line is a word put in.
 3. Of each variant's lines only the earliest matters, so variants are aggregated to their earliest line, never
    paired off; a template line with a million fillings is one group. A line and that earliest one are verified on their words.
+
+With edit_words, lines of 2 * edit_words words or more may differ by one word edit for each edit_words words of the shorter line. Two such
+lines have a run of RUN words in common, so they share an anchor: of each RUN words the least hash of GRAM words. Under an
+anchor each line is compared with the earliest; those not removed by that with all others, in blocks: first by counts of words in
+BUCKETS buckets, which differ by two at most for each edit, then on their words.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, written
-from .hashing import as_long, bloom, in_bloom, mix, words_and_lines
+from .hashing import as_long, bloom, in_bloom, mix, windows, words_and_lines
 
 MIN_WORDS, NEAR_WORDS = 5, 8
 #: Every line with a word counts; a third is the least part of a line that can hold its edit.
-WHOLE = {"min_words": 1, "near_words": 3}
+WHOLE = {"min_words": 1, "near_words": 3, "edit_words": 16}
+#: e edits in n >= e * edit_words words (e >= 2) leave a run of (n - e) / (e + 1) words or more: 10 at 16 words an edit.
+RUN, GRAM, BUCKETS, BLOCK = 10, 6, 64, 500
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
 _U = np.uint64
@@ -66,6 +73,7 @@ class Lines:
         self.n, s, e = n[self.number], first[self.number], ends[self.number]
         self.h = _hash(sums[e] - sums[s], self.n.astype("uint64"))
         self.near = self.n >= near_words
+        self.words, self.first, self.place, self.size = words, s, place, np.repeat(n, n)
         self.keys = np.zeros((len(s), 6), "uint64")
         head, tail = sums[s], sums[e]
         for i, m in ((0, self.n), (3, self.n + 1)):
@@ -75,6 +83,18 @@ class Lines:
             self.keys[:, i + 1] = _hash(sums[s + a] - head, size, after_b)
             self.keys[:, i + 2] = _hash(after_a, size, np.full(len(m), 3, "uint64"))
 
+    def anchors(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of number, anchor) of the lines of `least` words or more, each line's in order."""
+        grams = windows(self.words, GRAM)
+        if len(grams) <= RUN - GRAM:
+            return np.zeros(0, "int64"), grams[:0]
+        low = np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM + 1).min(1)
+        at = np.flatnonzero((self.size[: len(low)] >= least) & (self.place[: len(low)] + RUN <= self.size[: len(low)]))
+        row, low = np.searchsorted(self.first, at, side="right") - 1, mix(low[at])
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (low[1:] != low[:-1])
+        return row[new], low[new]
+
 
 #: Texts are worked through together, up to so many characters, to spare calls.
 TOGETHER = 200_000
@@ -175,7 +195,157 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def within_edits(a: list[bytes], b: list[bytes], most: int) -> bool:
+    """Whether `most` words replaced, put in or left out make b of a: the furthest place on each diagonal, edit by edit."""
+    goal, n, m = len(b) - len(a), len(a), len(b)
+    if abs(goal) > most:
+        return False
+    front: dict[int, int] = {}
+    for e in range(most + 1):
+        new = {}
+        for k in range(max(-e, -n), min(e, m) + 1):
+            i = max(front.get(k, -2) + 1, front.get(k - 1, -1), front.get(k + 1, -2) + 1) if e else 0
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            while i < n and i + k < m and a[i] == b[i + k]:
+                i += 1
+            new[k] = i
+        if new.get(goal) == n:
+            return True
+        front = new
+    return False
+
+
+def _long_lines(docs: DataFrame, edit_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """key, h of the shared anchors; h, doc_id, line, n, counts, words of the lines that may have one (rows of every repeat)."""
+    least = 2 * edit_words
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
+
+    def keys(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, own, _, _ in _together(batch.column(1).to_pylist(), least, least):
+                row, key = own.anchors(least)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), pa.array(as_long(own.h[row]))], ["key", "h"])
+
+    # What a line shares only with its own repeats is of no use.
+    anchors = rows.mapInArrow(keys, "key long, h long").groupBy("key", "h").agg(F.lit(1).alias("one"))
+    shared = written(anchors.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"), "shared-anchors")
+    words, bits = bloom(shared, "key")
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def texts(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for joined, own, at, line in _together(batch.column(1).to_pylist(), least, least):
+                row, key = own.anchors(least)
+                ok = in_bloom(sent.value, bits, key)
+                row, key = row[ok], key[ok]
+                hit, start = np.unique(row, return_index=True)
+                if not len(hit):
+                    continue
+                lines = joined.split("\n")
+                found = [b" ".join(lines[i].encode("utf-8", "surrogatepass").lower().split()) for i in own.number[hit].tolist()]
+                counts = [np.minimum(np.bincount((own.words[s : s + n] & _U(BUCKETS - 1)).astype("int64"), minlength=BUCKETS), 255).astype("u1").tobytes() for s, n in zip(own.first[hit].tolist(), own.n[hit].tolist(), strict=True)]
+                columns = [pa.array(as_long(own.h[hit])), batch.column(0).take(pa.array(at[hit])), pa.array(line[hit].astype("int32")), pa.array(own.n[hit].astype("int32"))]
+                columns += [pa.array(counts, pa.binary()), pa.array(found, pa.binary()), pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype("int32")), pa.array(as_long(key)))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "n", "counts", "words", "keys"])
+
+    return shared, rows.mapInArrow(texts, "h long, doc_id long, line int, n int, counts binary, words binary, keys array<long>")
+
+
+def _blocks(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """compare(probes, targets) of each key's rows, side by side in blocks of BLOCK; no task has to take a whole key."""
+    sizes = rows.groupBy("key").agg(F.sum(F.col("probe").cast("long")).alias("p"), F.sum((~F.col("probe")).cast("long")).alias("q")).filter("p > 0 and q > 0")
+    rows = rows.join(sizes, "key")
+    left, right = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("p", "q"))
+    own = F.when(F.col("probe"), F.pmod(F.xxhash64("h"), left)).otherwise(F.pmod(F.xxhash64("h"), right)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.when(F.col("probe"), right).otherwise(left) - 1)))
+    rows = rows.withColumn("i", F.when(F.col("probe"), F.col("own")).otherwise(F.col("to"))).withColumn("j", F.when(F.col("probe"), F.col("to")).otherwise(F.col("own")))
+
+    def run(pdf):
+        import pandas as pd
+
+        probes, targets = (pdf[pdf["probe"] == x].sort_values(["doc_id", "line"]) for x in (True, False))
+        return pd.DataFrame(compare(probes, targets), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.drop("p", "q", "own", "to").groupBy("key", "i", "j").applyInPandas(run, schema)
+
+
+def _near_long(docs: DataFrame, first: DataFrame, near: DataFrame, edit_words: int, id_col: str, text_col: str) -> DataFrame:
+    """h of the long lines with an earlier line within one edit for each edit_words words, besides those in near."""
+    shared, rows = _long_lines(docs, edit_words, id_col, text_col)
+    same = (F.col("l.h") == F.col("r.h")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.line") == F.col("r.line"))
+    texts = written(rows.alias("l").join(first.alias("r"), same, "left_semi").dropDuplicates(["h"]), "long-texts")
+    at = F.struct("doc_id", "line", "h")
+    members = texts.select("h", "doc_id", "line", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    members = written(members.join(shared, "key"), "anchored")
+    least = members.groupBy("key").agg(F.min(at).alias("least"), F.count("*").alias("all"))
+    todo = members.join(near, "h", "left_anti")
+    found = todo.join(least, "key").filter(at > F.col("least")).select("h", F.col("least.h").alias("other")).distinct()
+    own = texts.select("h", "n", "counts", "words")
+    pairs = found.join(own, "h").join(own.toDF("other", "n2", "counts2", "words2"), "other")
+
+    def close(counts, n, others, ns):
+        """Which of others (rows of counts) may be near: sizes and counts are within the bound."""
+        most = np.minimum(n, ns) // edit_words
+        return (abs(ns - n) <= most) & (abs(others - counts).sum(1) <= 2 * most)
+
+    def rows_of(counts):
+        return np.frombuffer(b"".join(counts), "u1").reshape(-1, BUCKETS).astype("int16")
+
+    def verify(batches):
+        for batch in batches:
+            if len(batch):
+                n, m = batch["n"].to_numpy("int64"), batch["n2"].to_numpy("int64")
+                ok = close(rows_of(batch["counts"]), n, rows_of(batch["counts2"]), m)
+                for x in np.flatnonzero(ok).tolist():
+                    ok[x] = within_edits(batch["words"].iloc[x].split(), batch["words2"].iloc[x].split(), int(min(n[x], m[x])) // edit_words)
+                yield batch.loc[ok, ["h"]]
+
+    one = written(pairs.select("h", "n", "counts", "words", "n2", "counts2", "words2").mapInPandas(verify, "h long").distinct(), "near-first")
+    # The others under an anchor; where there are but two lines, they have been compared.
+    todo = todo.join(one, "h", "left_anti").withColumn("probe", F.lit(True))
+    both = todo.unionByName(members.withColumn("probe", F.lit(False))).join(least.filter("all > 2").select("key"), "key")
+    order = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
+    both = both.select("key", "probe", "h", order, "line").join(texts.select("h", "n", "counts"), "h")
+
+    def candidates(a, b):
+        """The rows that have one on the other side."""
+        out, hit = [], np.zeros(len(b), bool)
+        if len(a) and len(b):
+            key, counts, ns = int(a["key"].iloc[0]), rows_of(b["counts"]), b["n"].to_numpy("int64")
+            doc, line = b["doc_id"].to_numpy("int64"), b["line"].to_numpy("int64")
+            for h, d, x, n, c in zip(a["h"].tolist(), a["doc_id"].tolist(), a["line"].tolist(), a["n"].tolist(), rows_of(a["counts"]), strict=True):
+                ok = ((doc < d) | ((doc == d) & (line < x))) & close(c, n, counts, ns)
+                if ok.any():
+                    hit |= ok
+                    out.append((key, True, h))
+            out += [(key, False, h) for h in b["h"][hit].tolist()]
+        return out
+
+    flagged = written(_blocks(both, candidates, "key long, probe boolean, h long").distinct(), "candidates")
+    both = flagged.join(texts.select("h", order, "line", "n", "counts", "words"), "h")
+
+    def confirmed(a, b):
+        out = []
+        if len(a) and len(b):
+            counts, ns, words = rows_of(b["counts"]), b["n"].to_numpy("int64"), [w.split() for w in b["words"].tolist()]
+            doc, line = b["doc_id"].to_numpy("int64"), b["line"].to_numpy("int64")
+            for h, d, x, n, c, w in zip(a["h"].tolist(), a["doc_id"].tolist(), a["line"].tolist(), a["n"].tolist(), rows_of(a["counts"]), a["words"].tolist(), strict=True):
+                ok = ((doc < d) | ((doc == d) & (line < x))) & close(c, n, counts, ns)
+                own = w.split()
+                if any(within_edits(own, words[y], int(min(n, ns[y])) // edit_words) for y in np.flatnonzero(ok).tolist()):
+                    out.append((h,))
+        return out
+
+    return written(one.unionByName(_blocks(both, confirmed, "h long")).distinct(), "near-long")
+
+
+def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line of every line to remove."""
     lines = written(line_table(docs, id_col, text_col, min_words, near_words), "lines")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
@@ -216,18 +386,20 @@ def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int =
             yield batch.loc[ok, ["h"]]
 
     near = written(pairs.select("h", "words", "words2").mapInPandas(verify, "h long").distinct().withColumn("near", F.lit(True)), "near-lines")
+    if edit_words:
+        near = near.unionByName(_near_long(docs, first, near, edit_words, id_col, text_col).withColumn("near", F.lit(True)))
     changed = first.join(near, "h", "left").filter("n > 1 or near").select("h", F.struct("doc_id", "line").alias("first"), "near")
     again = ~F.struct(F.col("doc_id"), F.col("line")).eqNullSafe(F.col("first"))
     return lines.select("h", "doc_id", "line").join(changed, "h").filter(F.col("near").isNotNull() | again).select("doc_id", "line")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removable lines taken out of the text, and n_lines and n_removed.
 
     Null text stays null (no lines). A text that loses all its lines becomes empty. Rows that share an id count as one
     document, so a line they share at the same place stays in both. Other columns stay as they are.
     """
-    gone = removable(docs, min_words=min_words, near_words=near_words, id_col=id_col, text_col=text_col)
+    gone = removable(docs, min_words=min_words, near_words=near_words, edit_words=edit_words, id_col=id_col, text_col=text_col)
     gone = written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id"), "gone-lines")
     release(docs.sparkSession)
     # Always a shuffled join: the list of lines grows with the input, and small inputs shall take the same way.

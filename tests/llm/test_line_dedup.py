@@ -34,3 +34,43 @@ def test_copies_with_a_short_line_leave_no_stub(spark):
     docs = make(spark, [(i, text, "a") for i in range(3)])
     got = corpus_pipeline.line_dedup(spark, docs, "").collect()
     assert [(r["doc_id"], r["text"]) for r in got] == [(0, text)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def alike(a, b):
+    most = max(1, min(len(a), len(b)) // line_dedup.WHOLE["edit_words"])
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
+def test_within_edits():
+    rng = random.Random(23)
+    for _ in range(2000):
+        a, b = (sentence(rng, rng.randrange(12), 3).encode().split() for _ in range(2))
+        for most in range(6):
+            assert line_dedup.within_edits(a, b, most) == (distance(a, b) <= most)
+
+
+def test_bound_grows_with_the_line(spark, monkeypatch):
+    rng = random.Random(24)
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)  # several blocks an anchor
+    passage = sentence(rng, 30, 10**6)  # in every line of a kind, so that anchors have many lines that aren't alike
+    base = [f"{passage if i % 2 else ''} {sentence(rng, n, 10**6)}".split() for i, n in enumerate((32, 33, 40, 47, 64, 100, 200, 35))]
+    texts = []
+    for i in range(160):
+        w = list(base[i % 8])
+        for _ in range(rng.randrange(len(w) // 16 + 2)):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind < 2)] = [f"z{rng.randrange(10**6)}"] * (kind > 0)
+        texts.append(" ".join(w))
+    want = brute_lines(texts, alike)
+    assert want != brute_lines(texts, line_dedup.within_one_edit)
+    rows = line_dedup.dedup_lines(make(spark, [(i, t, "a") for i, t in enumerate(texts)]), **line_dedup.WHOLE).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(want))
