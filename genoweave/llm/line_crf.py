@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import sample_ids
 
-#: Labelled rows the model is fitted on, at most; lines of a training row, at most.
+#: Labelled rows the model is fitted on, at most; each with all its lines.
 SAMPLE_ROWS = 4_000
-SAMPLE_LINES = 400
 
 UPPER, LOWER, DIGIT, SPACE, SYMBOL, STOP, OTHER = range(7)
 N_OWN = 22
@@ -197,7 +196,7 @@ def learn(texts: list[str], good: list[int]) -> Model:
     for text, y in zip(texts, good, strict=True):
         x, _ = line_features(text or "")
         if len(x):
-            xs.append(x[:SAMPLE_LINES])
+            xs.append(x)
             sizes.append(len(xs[-1]))
             labels.append(1 - y)
     if not xs or len(set(labels)) < 2:
