@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPS = 1e-10
-_SMALL = [math.lgamma(n + 1) for n in range(16)]
+#: ln 0! to ln 15!, as one expression: a literal for each would take the driver longer than the query.
+_SMALL = f"array({', '.join(f'{math.lgamma(n + 1)!r}D' for n in range(16))})"
 
 
 def num(x: float) -> Column:
@@ -24,11 +25,19 @@ def log_factorial(n: Column) -> Column:
     inv2 = inv * inv
     series = inv * (num(1 / 12) - inv2 * (num(1 / 360) - inv2 * (num(1 / 1260) - inv2 * num(1 / 1680))))
     stirling = (x - 0.5) * F.ln(x) - x + num(0.5 * math.log(2 * math.pi)) + series
-    return F.when(n < 16, F.element_at(F.array(*[num(v) for v in _SMALL]), (n + 1).cast("int"))).otherwise(stirling)
+    return F.when(n < 16, F.element_at(F.expr(_SMALL), (n + 1).cast("int"))).otherwise(stirling)
+
+
+def log_hypergeometric(i: Column, carriers: Column, drawn: int, population: int) -> Column:
+    """ln P(X = i) when `drawn` of `population` are drawn and `carriers` of them are marked, for an i that is possible."""
+    fixed = math.lgamma(drawn + 1) + math.lgamma(population - drawn + 1) - math.lgamma(population + 1)
+    up = log_factorial(carriers) + log_factorial(population - carriers)
+    down = log_factorial(i) + log_factorial(carriers - i) + log_factorial(drawn - i) + log_factorial(population - carriers - drawn + i)
+    return up - down + num(fixed)
 
 
 def hypergeometric_tail(x: Column, carriers: Column, drawn: Column, population: Column) -> Column:
-    """P(X >= x) when `drawn` of `population` are drawn and `carriers` of them are marked. An impossible tail is 0."""
+    """P(X >= x), term by term: for few rows, such as modules. An impossible tail is 0. For many see network.tail_table."""
     lo = F.greatest(x.cast("long"), F.lit(0).cast("long"), (drawn - (population - carriers)).cast("long"))
     hi = F.least(carriers.cast("long"), drawn.cast("long"))
     fixed = log_factorial(carriers) + log_factorial(population - carriers) - log_factorial(population) + log_factorial(drawn) + log_factorial(population - drawn)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..store import drop, written
+
 PALINDROMES = ("AT", "TA", "CG", "GC")
 
 
@@ -119,9 +121,11 @@ def ld_prune(ld: DataFrame, variant: DataFrame, maf: DataFrame, r2: float, windo
 
 
 def king_kinship(genotype: DataFrame, least: float | None = None) -> DataFrame:
-    """a < b, kinship of sample pairs with a common carried variant: (shared hets - 2 opposite homozygotes) / (hets of both) form.
+    """a < b, kinship of sample pairs with a common carried variant: 1/2 less the distance of their genotypes over the smaller number of heterozygotes.
 
-    hethet and IBS0 come from stored dosages; opposite homozygotes are those of one sample where the other has dosage 0.
+    KING-robust: 1/2 - (4 IBS0 + heterozygous in one only) / (4 min(het a, het b)); missing where one has no heterozygote. A pair
+    without a common carried variant has 0 at most, so with least > 0 none is missing. Heterozygous in both and IBS0 come from
+    stored dosages; opposite homozygotes are those of one sample where the other has dosage 0.
     """
     g = genotype.select("sample_id", "variant_idx", "dosage")
     own = g.groupBy("sample_id").agg(F.count_if(F.col("dosage") == 1).alias("het"), F.count_if(F.col("dosage") == 2).alias("hom"))
@@ -129,38 +133,54 @@ def king_kinship(genotype: DataFrame, least: float | None = None) -> DataFrame:
     both = both.agg(F.count_if((F.col("da") == 1) & (F.col("db") == 1)).alias("hethet"), F.count_if(F.col("da") == 2).alias("hom_a"), F.count_if(F.col("db") == 2).alias("hom_b"))
     rows = both.join(own.toDF("a", "het_a", "all_a"), "a").join(own.toDF("b", "het_b", "all_b"), "b")
     ibs0 = F.col("all_a") - F.col("hom_a") + F.col("all_b") - F.col("hom_b")
-    kin = F.try_divide(F.col("hethet") - 2.0 * ibs0, (F.col("het_a") + F.col("het_b")).cast("double"))
+    differ = 4.0 * ibs0 + F.col("het_a") + F.col("het_b") - 2 * F.col("hethet")
+    kin = 0.5 - F.try_divide(differ, 4.0 * F.least("het_a", "het_b"))
     rows = rows.select("a", "b", "hethet", ibs0.alias("ibs0"), kin.alias("kinship"))
     return rows if least is None else rows.filter(F.col("kinship") >= least)
 
 
-def relatedness_prune(pairs: DataFrame, people: DataFrame, demote_cases: bool = False) -> DataFrame:
+def relatedness_prune(pairs: DataFrame, people: DataFrame, max_controls_per_case: int | None = None) -> DataFrame:
     """ids removed: while a related pair is left, the one of least worth goes: missing phenotype before control before case, then most relatives, then id.
 
-    pairs: a, b (kinship already filtered); people: id, pheno. Components are independent, so each is pruned by itself, in parallel;
-    a component holds one family. Self pairs are ignored.
+    pairs: a, b (kinship already filtered); people: id, pheno. A case with more related controls left than max_controls_per_case
+    counts as a control while it has. Components are independent, so each is pruned by itself, in parallel; a component holds one
+    family. Self pairs are ignored.
     """
     from ..plans.graph import components
 
-    e = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().persist()
+    e = written(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "relatives")
     if not e.take(1):
         return people.select("id").limit(0)
-    root = components(e)
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    rows = both.join(root, "u").join(people.select(F.col("id").alias("u"), "pheno"), "u", "left")
+    rows = both.join(components(e), "u").join(people.select(F.col("id").alias("u"), "pheno"), "u", "left")
 
     def prune(pdf):
+        import heapq
+
         near: dict[int, set[int]] = {}
         rank: dict[int, int] = {}
         for u, v, p in zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["pheno"].tolist(), strict=True):
             near.setdefault(u, set()).add(v)
-            rank[u] = 0 if pd.isna(p) else 1 if p == 0 or demote_cases else 2
-        gone = []
-        while any(near.values()):
-            u = min((x for x in near if near[x]), key=lambda x: (rank[x], -len(near[x]), x))
+            rank[u] = 0 if pd.isna(p) else 1 if p == 0 else 2
+
+        def worth(x):
+            r = rank[x]
+            if r == 2 and max_controls_per_case is not None and sum(rank[y] == 1 for y in near[x]) > max_controls_per_case:
+                r = 1
+            return r, -len(near[x]), x
+
+        heap, gone = [worth(x) for x in near], []
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            u = top[2]
+            if not near.get(u) or top != worth(u):  # an entry of before its relatives went
+                continue
             gone.append(u)
             for v in near.pop(u):
                 near[v].discard(u)
+                if near[v]:
+                    heapq.heappush(heap, worth(v))
         return pd.DataFrame({"id": gone}, dtype="int64")
 
     return rows.groupBy("root").applyInPandas(prune, "id long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats as S
+from ..store import written
 from .network import mirrored
 
 
@@ -77,16 +78,21 @@ def bpm_chi2(binary: DataFrame, bpm: DataFrame, variants: int, least: int = 5) -
     keys = ["path1", "path2"]
     rows = bpm.join(bpm_block_sum(binary, bpm), keys).join(set_degree(binary, bpm, keys, "ind1", "tot1"), keys).join(set_degree(binary, bpm, keys, "ind2", "tot2"), keys)
     small = (F.col("ind1size") < least) | (F.col("ind2size") < least)
-    gi = F.when(small, 0.0).otherwise(F.col("block_sum").cast("double"))
-    rows = rows.withColumn("gi", gi).withColumn("notgi", F.greatest(F.col("size") - gi, F.lit(0.0)))
+    cell = lambda c: F.when(small, 0.0).otherwise(F.col(c).cast("double"))
+    rows = rows.select(*bpm.columns, small.alias("small"), cell("block_sum").alias("gi"), cell("tot1").alias("all1"), cell("tot2").alias("all2"))
+    # A module a row. The table between keeps the formulas below over plain columns, else the generated code is too long to compile.
+    rows = written(rows, "bpm-cells")
+    gi, size = F.col("gi"), F.col("size")
+    out = {"notgi": F.greatest(size - gi, F.lit(0.0))}
     for i in ("1", "2"):
-        rows = rows.withColumn(f"bg{i}", F.when(small, 0.0).otherwise(F.col(f"tot{i}")) - F.col("gi"))
-        rows = rows.withColumn(f"bgnot{i}", F.col(f"ind{i}size") * variants - F.col(f"bg{i}") - F.col("size"))
-        stat = S.chi2_stat(F.col("gi"), F.col(f"bg{i}"), F.col("notgi"), F.col(f"bgnot{i}"))
-        under = F.try_divide(F.col("gi"), F.col("gi") + F.col("notgi")) < F.try_divide(F.col(f"bg{i}"), F.col(f"bg{i}") + F.col(f"bgnot{i}"))
-        rows = rows.withColumn(f"stat{i}", F.when(~small, stat)).withColumn(f"under{i}", F.coalesce(under, F.lit(False)))
-        rows = rows.withColumn(f"density{i}", F.try_divide(F.col("gi") + F.col(f"bg{i}"), F.col(f"bgnot{i}") + F.col(f"bg{i}") + F.col("size")))
-    return rows
+        bg = F.col(f"all{i}") - gi
+        out |= {f"bg{i}": bg, f"bgnot{i}": F.col(f"ind{i}size") * variants - bg - size}
+    rows = written(rows.withColumns(out).drop("all1", "all2"), "bpm-tables")
+    for i in ("1", "2"):
+        bg, bgnot, notgi = F.col(f"bg{i}"), F.col(f"bgnot{i}"), F.col("notgi")
+        under = F.try_divide(gi, gi + notgi) < F.try_divide(bg, bg + bgnot)
+        rows = rows.withColumns({f"stat{i}": F.when(~F.col("small"), S.chi2_stat(gi, bg, notgi, bgnot)), f"under{i}": F.coalesce(under, F.lit(False)), f"density{i}": F.try_divide(gi + bg, bgnot + bg + size)})
+    return written(rows.drop("small"), "bpm-chi2")
 
 
 def dense_side(rows: DataFrame) -> DataFrame:

@@ -7,12 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import stats as S
+from ..store import drop, written
+
+CELLS = ("11", "10", "01", "00")
+
+
+def carrier_table(genotype: DataFrame, sample: DataFrame) -> DataFrame:
+    """sample_id, variant_idx, dosage, pheno of all stored dosages, written once: every coding and model reads from it."""
+    rows = genotype.join(sample.select("sample_id", "pheno"), "sample_id").select("sample_id", "variant_idx", "dosage", "pheno")
+    return written(rows, "carriers")
+
+
+def coded(carrier: DataFrame, coding: str) -> DataFrame:
+    """Carriers under a coding: dominant dosage >= 1, recessive 2. The filter reaches the scan."""
+    return carrier.filter(F.col("dosage") >= 1 if coding == "D" else F.col("dosage") == 2).select("sample_id", "variant_idx", "pheno")
 
 
 def carriers(genotype: DataFrame, sample: DataFrame, coding: str) -> DataFrame:
-    """sample_id, variant_idx, pheno of the carriers: dominant dosage >= 1, recessive 2. The filter reaches the scan side."""
-    rows = genotype.filter(F.col("dosage") >= 1 if coding == "D" else F.col("dosage") == 2)
-    return rows.join(sample.select("sample_id", "pheno"), "sample_id").select("sample_id", "variant_idx", "pheno")
+    """sample_id, variant_idx, pheno of the carriers, without a table between."""
+    return coded(genotype.join(sample.select("sample_id", "pheno"), "sample_id"), coding)
+
+
+def totals(sample: DataFrame) -> tuple[int, int]:
+    """Samples and cases: one row."""
+    r = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("pheno"), F.lit(0)).cast("long").alias("x")).first()
+    return r["n"], r["x"]
 
 
 def marginals(carrier: DataFrame) -> DataFrame:
@@ -30,78 +49,170 @@ def pair_counts(left: DataFrame, right: DataFrame, symmetric: bool) -> DataFrame
     return pairs.groupBy("u", "v").agg(F.count("*").alias("g11"), F.sum("pheno").cast("long").alias("x11"))
 
 
-def pair_counts_blocked(carrier: DataFrame, block: int = 256, sample_block: int = 8192) -> DataFrame:
-    """As pair_counts (symmetric), by dense matrix products of variant blocks: for cohorts in which most samples carry most variants.
+#: A joined row costs about as much as so many products of a matrix (measured: 4 microseconds against a few nanoseconds, and the way to Python).
+PRODUCTS_A_ROW = 1000
+
+
+def pair_counts_of(carrier: DataFrame, model: str, samples: int, variants: int) -> DataFrame:
+    """pair_counts for a model, symmetric ones by whichever of join and matrix is less work for the measured carriers.
+
+    The join makes about rows^2 / samples / 2 rows, the matrix samples * variants^2 / 2 products.
+    """
+    if model[0] != model[1]:
+        return pair_counts(coded(carrier, model[0]), coded(carrier, model[1]), False)
+    own = coded(carrier, model[0])
+    rows = float(own.count())
+    dense = rows * rows / max(1, samples) * PRODUCTS_A_ROW > float(samples) * variants * variants
+    return pair_counts_blocked(own, variants) if dense else pair_counts(own, own, True)
+
+
+def pair_counts_blocked(carrier: DataFrame, variants: int, block: int = 1024, sample_block: int = 4096) -> DataFrame:
+    """As pair_counts (symmetric), by matrix products of variant blocks: for cohorts in which samples carry many of the variants.
 
-    Carriers are grouped by sample block and variant-block pair; a group holds at most 2 * block * sample_block bits.
+    Each pair of variant blocks is one group for each block of samples; a group holds two matrices of block * sample_block cells at most.
+    A row goes to all groups its block belongs to, so blocks should be as large as memory allows.
     """
-    rows = carrier.withColumn("b", F.floor(F.col("variant_idx") / block).cast("int")).withColumn("s", F.floor(F.col("sample_id") / sample_block).cast("int"))
-    blocks = rows.select("b").distinct()
-    pairs = blocks.toDF("bu").join(blocks.toDF("bv"), F.col("bu") >= F.col("bv"))
-    left = rows.join(F.broadcast(pairs), F.col("b") == F.col("bu")).withColumn("side", F.lit(0))
-    right = rows.join(F.broadcast(pairs), F.col("b") == F.col("bv")).withColumn("side", F.lit(1))
+    last = (variants - 1) // block
+    rows = carrier.select("sample_id", "variant_idx", "pheno", F.floor(F.col("variant_idx") / block).cast("int").alias("b"), F.floor(F.col("sample_id") / sample_block).cast("int").alias("s"))
+    # As the higher block it meets itself and all lower ones, as the lower block all higher ones.
+    at = F.concat(F.transform(F.sequence(F.lit(0), F.col("b")), lambda x: F.struct(F.col("b").alias("bu"), x.alias("bv"))), F.transform(F.slice(F.sequence(F.col("b"), F.lit(last)), 2, last + 1), lambda x: F.struct(x.alias("bu"), F.col("b").alias("bv"))))
+    sent = rows.select("s", "sample_id", "variant_idx", "pheno", F.inline(at))
 
     def products(pdf):
         import numpy as np
         import pandas as pd
 
         s0, bu, bv = pdf["s"].iloc[0] * sample_block, pdf["bu"].iloc[0] * block, pdf["bv"].iloc[0] * block
-        x, y = np.zeros((sample_block, block), "float32"), np.zeros((sample_block, block), "float32")
-        case = np.zeros(sample_block, "float32")
-        for side, m, b0 in ((0, x, bu), (1, y, bv)):
-            own = pdf[pdf["side"] == side]
-            at = (own["sample_id"] - s0).to_numpy("int64")
-            m[at, (own["variant_idx"] - b0).to_numpy("int64")] = 1
-            case[at] = own["pheno"].to_numpy("float32")
+        sample, variant = (pdf["sample_id"] - s0).to_numpy("int64"), pdf["variant_idx"].to_numpy("int64")
+        x, case = np.zeros((sample_block, block), "float32"), np.zeros(sample_block, "float32")
+        case[sample] = pdf["pheno"].to_numpy("float32")
+        upper = (variant >= bu) & (variant < bu + block)
+        x[sample[upper], variant[upper] - bu] = 1
+        y = x
+        if bu != bv:
+            y = np.zeros((sample_block, block), "float32")
+            y[sample[~upper], variant[~upper] - bv] = 1
         both, cases = x.T @ y, (x * case[:, None]).T @ y
+        if bu == bv:
+            both = np.tril(both, -1)
         i, j = np.nonzero(both)
-        out = pd.DataFrame({"u": i + bu, "v": j + bv, "g": both[i, j].astype("int64"), "c": cases[i, j].astype("int64")})
-        return out[out["u"] > out["v"]]
+        return pd.DataFrame({"u": i + bu, "v": j + bv, "g": both[i, j].astype("int64"), "c": cases[i, j].astype("int64")})
 
-    part = left.unionByName(right).groupBy("s", "bu", "bv").applyInPandas(products, "u long, v long, g long, c long")
+    part = sent.groupBy("s", "bu", "bv").applyInPandas(products, "u long, v long, g long, c long")
     return part.groupBy("u", "v").agg(F.sum("g").alias("g11"), F.sum("c").alias("x11"))
 
 
-def contingency(pairs: DataFrame, left: DataFrame, right: DataFrame, sample: DataFrame) -> DataFrame:
-    """The four cells of carriers (g) and cases among them (x) for each pair; six follow from two by the marginals."""
-    n = sample.agg(F.count("*").alias("N"), F.sum("pheno").cast("long").alias("cases"))
-    rows = pairs.join(left.toDF("u", "nu", "xu"), "u").join(right.toDF("v", "nv", "xv"), "v").join(F.broadcast(n), F.lit(True))  # n is one row
+def contingency(pairs: DataFrame, left: DataFrame, right: DataFrame, total: tuple[int, int]) -> DataFrame:
+    """pairs with the four cells of carriers (g) and cases among them (x); six follow from two by the marginals."""
+    rows = pairs.join(left.toDF("u", "nu", "xu"), "u").join(right.toDF("v", "nv", "xv"), "v")
+    n, cases = (F.lit(x).cast("long") for x in total)
     return rows.select(
-        "u", "v", "N", "cases", "g11", "x11", (F.col("nu") - F.col("g11")).alias("g10"), (F.col("xu") - F.col("x11")).alias("x10"),
+        *pairs.columns, (F.col("nu") - F.col("g11")).alias("g10"), (F.col("xu") - F.col("x11")).alias("x10"),
         (F.col("nv") - F.col("g11")).alias("g01"), (F.col("xv") - F.col("x11")).alias("x01"),
-        (F.col("N") - F.col("nu") - F.col("nv") + F.col("g11")).alias("g00"), (F.col("cases") - F.col("xu") - F.col("xv") + F.col("x11")).alias("x00"),
+        (n - F.col("nu") - F.col("nv") + F.col("g11")).alias("g00"), (cases - F.col("xu") - F.col("xv") + F.col("x11")).alias("x00"),
     )
 
 
-def tails(cells: DataFrame, effect: str) -> DataFrame:
-    """Adds p11, p10, p01, p00. Each distinct (carriers, cases) is worked out once and joined back."""
-    drawn = F.col("cases") if effect == "risk" else F.col("N") - F.col("cases")
-    seen = [F.struct(F.col(f"g{c}").alias("g"), (F.col(f"x{c}") if effect == "risk" else F.col(f"g{c}") - F.col(f"x{c}")).alias("x")) for c in ("11", "10", "01", "00")]
-    known = cells.select("N", drawn.alias("d"), F.explode(F.array(*seen)).alias("k")).select("N", "d", "k.g", "k.x").distinct()
-    known = known.withColumn("p", S.hypergeometric_tail(F.col("x"), F.col("g"), F.col("d"), F.col("N"))).select("g", "x", "p")
-    out = cells
-    for c in ("11", "10", "01", "00"):
-        x = F.col(f"x{c}") if effect == "risk" else F.col(f"g{c}") - F.col(f"x{c}")
-        out = out.withColumn("__x", x).join(known.toDF("__g", "__x2", f"p{c}"), (F.col(f"g{c}") == F.col("__g")) & (F.col("__x") == F.col("__x2"))).drop("__g", "__x", "__x2")
+def _hits(c: str, effect: str) -> Column:
+    """What counts as drawn in a cell: cases for risk, controls for protective."""
+    return F.col(f"x{c}") if effect == "risk" else F.col(f"g{c}") - F.col(f"x{c}")
+
+
+def tail_table(wanted: DataFrame, drawn: int, population: int) -> DataFrame:
+    """g, x, p: P(X >= x) for each wanted (g carriers, x of them drawn), as a written table.
+
+    The counts from the least wanted x of a g on are laid out once: the first one's probability is worked out, the
+    others follow by the ratio of neighbouring terms, and sums run from the far end. So a g costs as many terms as it
+    has counts, however many x are wanted of it.
+    """
+    least = wanted.groupBy("g", "x").agg(F.lit(1).alias("one"))
+    first, g, x = F.greatest(F.col("x"), F.lit(0).cast("long"), F.col("g") - (population - drawn)), F.col("g"), F.col("at")
+    spans = least.groupBy("g").agg(F.min(first).alias("lo")).withColumn("hi", F.least(g, F.lit(drawn).cast("long"))).filter("lo <= hi")
+    spans = spans.withColumn("start", S.log_hypergeometric(F.col("lo"), g, drawn, population))
+    terms = spans.select("g", "start", "lo", F.explode(F.sequence("lo", "hi")).alias("at"))
+    ratio = (g - x + 1).cast("double") * (drawn - x + 1) / (x.cast("double") * (population - g - drawn + x))
+    step = F.when(x == F.col("lo"), F.col("start")).otherwise(F.ln(ratio))
+    up = W.partitionBy("g").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("g").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, 0)
+    sums = terms.withColumn("step", step).withColumn("p", F.exp(F.sum("step").over(up))).select("g", "at", F.sum("p").over(down).alias("p"))
+    # An x below all possible counts has the whole sum, one above them none.
+    found = least.select("g", "x", first.cast("long").alias("at")).join(sums, ["g", "at"], "left")
+    return written(found.select("g", "x", F.coalesce("p", F.lit(0.0)).alias("p")), "tails")
+
+
+def with_tails(cells: DataFrame, known: DataFrame, effect: str, which: tuple[str, ...]) -> DataFrame:
+    """Adds p of each cell from the table of distinct (g, x), which is far shorter than the pairs."""
+    for c in which:
+        own = known.toDF(f"__g{c}", f"__x{c}", f"p{c}")
+        cells = cells.join(own, (F.col(f"g{c}") == F.col(f"__g{c}")) & (_hits(c, effect) == F.col(f"__x{c}"))).drop(f"__g{c}", f"__x{c}")
+    return cells
+
+
+def leaning(pairs: DataFrame, effect: str, total: tuple[int, int], alpha1: float) -> DataFrame:
+    """Pairs with more hits than expected. Others have a tail of 1/2 or more (a hypergeometric median is within 1 of the mean), so below alpha1 1/2 they can't pass."""
+    if alpha1 >= 0.5:
+        return pairs
+    n, cases = total
+    drawn = cases if effect == "risk" else n - cases
+    return pairs.filter(_hits("11", effect) * n > F.col("g11") * drawn)
+
+
+def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, total: tuple[int, int], effect: str, alpha1: float = 0.05, alpha2: float = 0.05) -> DataFrame:
+    """u, v, score of the pairs that score above 0.
+
+    p11 comes first, from the two counts alone; only pairs that pass alpha1 get marginals and the other three tails.
+    """
+    n, cases = total
+    drawn = cases if effect == "risk" else n - cases
+    found = written(leaning(pairs, effect, total, alpha1), "pairs")
+    known = tail_table(found.select(F.col("g11").alias("g"), _hits("11", effect).alias("x")), drawn, n)
+    passed = with_tails(found, known, effect, ("11",)).filter(F.col("p11") + S.EPS <= alpha1)
+    cells = written(contingency(passed, left, right, total), "cells")
+    seen = F.array(*[F.struct(F.col(f"g{c}").alias("g"), _hits(c, effect).alias("x")) for c in CELLS[1:]])
+    known = tail_table(cells.select(F.inline(seen)), drawn, n)
+    score = S.interaction_score(*(F.col(f"p{c}") for c in CELLS), alpha1, alpha2)
+    out = written(with_tails(cells, known, effect, CELLS[1:]).select("u", "v", score.alias("score")).filter("score > 0"), "network")
+    drop(found)
+    drop(cells)
     return out
 
 
-def scored(cells: DataFrame, effect: str, alpha1: float = 0.05, alpha2: float = 0.05) -> DataFrame:
-    """u, v, score of the pairs that score above 0."""
-    rows = tails(cells, effect)
-    score = S.interaction_score(*(F.col(f"p{c}") for c in ("11", "10", "01", "00")), alpha1, alpha2)
-    return rows.select("u", "v", score.alias("score")).filter("score > 0")
+def network_of(carrier: DataFrame, total: tuple[int, int], variants: int, model: str, effect: str, alpha1: float = 0.05, alpha2: float = 0.05) -> DataFrame:
+    """u > v, score, as a written table. DD and RR on unordered pairs; RD on ordered ones, of which the better counts."""
+    left, right = marginals(coded(carrier, model[0])), marginals(coded(carrier, model[1]))
+    edges = scored(pair_counts_of(carrier, model, total[0], variants), left, right, total, effect, alpha1, alpha2)
+    return written(symmetrized(edges), "network") if model == "RD" else edges
 
 
 def network(genotype: DataFrame, sample: DataFrame, model: str, effect: str, alpha1: float = 0.05, alpha2: float = 0.05) -> DataFrame:
-    """u > v, score: DD and RR on unordered pairs; RD on ordered ones, of which the better counts."""
-    if model == "RD":
-        rec, dom = carriers(genotype, sample, "R"), carriers(genotype, sample, "D")
-        cells = contingency(pair_counts(rec, dom, False), marginals(rec), marginals(dom), sample)
-        return symmetrized(scored(cells, effect, alpha1, alpha2))
-    own = carriers(genotype, sample, model[0])
-    m = marginals(own)
-    return scored(contingency(pair_counts(own, own, True), m, m, sample), effect, alpha1, alpha2)
+    """One network from genotypes and samples. Several should share a carrier_table and call network_of, or interaction_networks."""
+    carrier = carrier_table(genotype, sample)
+    return network_of(carrier, totals(sample), variant_count(carrier), model, effect, alpha1, alpha2)
+
+
+def variant_count(carrier: DataFrame) -> int:
+    """Variants that anyone carries."""
+    return carrier.select("variant_idx").distinct().count()
+
+
+def interaction_networks(carrier: DataFrame, total: tuple[int, int], variants: int, model: str, alpha1: float = 0.05, alpha2: float = 0.05) -> dict[str, DataFrame]:
+    """risk and protective network of a model: RR, DD, RD or combined, where max_id tells the winning model.
+
+    Pairs are counted once for both effects.
+    """
+    if model not in ("RR", "DD", "RD", "combined"):
+        raise ValueError(f"no such model: {model}")
+    out: dict[str, dict[str, DataFrame]] = {"risk": {}, "protective": {}}
+    for m in ("RR", "DD", "RD") if model == "combined" else (model,):
+        pairs = written(pair_counts_of(carrier, m, total[0], variants), "counts")
+        left, right = marginals(coded(carrier, m[0])), marginals(coded(carrier, m[1]))
+        for effect, own in out.items():
+            edges = scored(pairs, left, right, total, effect, alpha1, alpha2)
+            own[m] = symmetrized(edges) if m == "RD" else edges
+        drop(pairs)
+    if model != "combined":
+        return {e: own[model] for e, own in out.items()}
+    return {e: written(combined(own["RR"], own["DD"], own["RD"]), "combined") for e, own in out.items()}
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:
@@ -111,8 +222,9 @@ def symmetrized(edges: DataFrame) -> DataFrame:
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
-    """Both orientations of each edge."""
-    return edges.select("u", "v", "score").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"))
+    """Both orientations of each edge, from one scan."""
+    both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select(F.inline(both), "score")
 
 
 def combined(rr: DataFrame, dd: DataFrame, rd: DataFrame) -> DataFrame:

@@ -105,14 +105,20 @@ def drivers(edges: DataFrame, sets: DataFrame, keys: list[str], rows: str, cols:
 
 
 def bpm_similarity(bpm: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of modules a < b that share variants, with max(|11||22|, |12||21|) over the smaller size product."""
-    n = lambda x, y: F.size(F.array_intersect(F.col(x), F.col(y))).cast("long")
-    a, b = (bpm.select(*[F.col(k).alias(f"{k}_{s}") for k in keys], F.col("ind1").alias(f"i1{s}"), F.col("ind2").alias(f"i2{s}")) for s in ("a", "b"))
-    less = F.struct(*[f"{k}_a" for k in keys]) < F.struct(*[f"{k}_b" for k in keys])
-    size = lambda s: F.size(f"i1{s}").cast("long") * F.size(f"i2{s}")
-    top = F.greatest(n("i1a", "i1b") * n("i2a", "i2b"), n("i1a", "i2b") * n("i2a", "i1b"))
-    rows = a.join(b, less).withColumn("similarity", F.try_divide(top.cast("double"), F.least(size("a"), size("b")).cast("double")))
-    return rows.filter("similarity > 0").select(*[f"{k}_{s}" for s in ("a", "b") for k in keys], "similarity")
+    """Pairs of modules a < b that share variants, with max(|11||22|, |12||21|) over the smaller size product.
+
+    An equi-join on the variants counts the four overlaps; pairs without a common variant are never made.
+    """
+    key = F.struct(*keys)
+    sides = [bpm.select(key.alias("k"), F.lit(i).alias("side"), F.explode(f"ind{i}").alias("v")) for i in (1, 2)]
+    member = sides[0].unionByName(sides[1])
+    a, b = member.toDF("a", "sa", "v"), member.toDF("b", "sb", "v")
+    n = lambda x, y: F.count_if((F.col("sa") == x) & (F.col("sb") == y)).alias(f"n{x}{y}")
+    rows = a.join(b, "v").filter("a < b").groupBy("a", "b").agg(n(1, 1), n(2, 2), n(1, 2), n(2, 1))
+    top = F.greatest(F.col("n11") * F.col("n22"), F.col("n12") * F.col("n21"))
+    size = bpm.select(key.alias("k"), (F.size("ind1").cast("long") * F.size("ind2")).alias("n"))
+    rows = rows.filter(top > 0).join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    return rows.select(*[F.col(f"{s}.{k}").alias(f"{k}_{s}") for s in ("a", "b") for k in keys], (top.cast("double") / F.least("na", "nb")).alias("similarity"))
 
 
 def path_similarity(wpm: DataFrame) -> DataFrame:

@@ -74,13 +74,17 @@ def wpm_sets(member: DataFrame, min_path: int = 5) -> DataFrame:
     return rows.select("pathway_id", "ind", n.alias("indsize"), (n * n - n).alias("size")).filter(F.col("indsize") >= min_path)
 
 
-def bpm_sets(wpm: DataFrame, min_path: int = 5) -> DataFrame:
+def bpm_sets(wpm: DataFrame, min_path: int = 5, blocks: int = 8) -> DataFrame:
     """path1 < path2, each side without the shared variants, and sizes. Both sides need min_path variants.
 
-    All pairs of pathways are this table's content; pathways number hundreds, and the join spreads over them.
+    All pairs of pathways are this table's content. They are laid out in blocks x blocks hash cells by an equi-join, so
+    that a task holds two blocks of pathways and no cross join is planned.
     """
-    a, b = wpm.select(F.col("pathway_id").alias("path1"), F.col("ind").alias("a")), wpm.select(F.col("pathway_id").alias("path2"), F.col("ind").alias("b"))
-    rows = a.join(b, F.col("path1") < F.col("path2"))
+    own = F.pmod(F.xxhash64("pathway_id"), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = wpm.select(F.col("pathway_id").alias("path1"), F.col("ind").alias("a"), own.alias("i"), every.alias("j"))
+    b = wpm.select(F.col("pathway_id").alias("path2"), F.col("ind").alias("b"), every.alias("i"), own.alias("j"))
+    rows = a.join(b, ["i", "j"]).filter(F.col("path1") < F.col("path2"))
     rows = rows.select("path1", "path2", F.array_except("a", "b").alias("ind1"), F.array_except("b", "a").alias("ind2"))
     n1, n2 = F.size("ind1").cast("long"), F.size("ind2").cast("long")
     return rows.withColumn("ind1size", n1).withColumn("ind2size", n2).withColumn("size", n1 * n2).filter((n1 >= min_path) & (n2 >= min_path))

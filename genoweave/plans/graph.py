@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import drop, written
 
-def components(edges: DataFrame) -> DataFrame:
-    """u, root for edges (u, v): every node's least reachable node. Each round's labels are written by checkpoint()."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="genoweave-"))
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    label = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("root"))
+def components(edges: DataFrame) -> DataFrame:
+    """u, root for edges (u, v): every node's least reachable node. Each round's labels are a written table; the one before goes."""
+    both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both-ways")
+    label = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("root")), "labels")
     while True:
         near = both.join(label.toDF("v", "r"), "v").groupBy("u").agg(F.min("r").alias("m"))
         step = label.join(near, "u").select("u", "root", F.least("root", "m").alias("new"))
-        jump = step.alias("s").join(step.select(F.col("u").alias("new"), F.col("new").alias("far")), "new").select("s.u", "s.root", F.least("new", "far").alias("new")).checkpoint()
-        if not jump.filter("root <> new").take(1):
-            return jump.select("u", F.col("new").alias("root"))
-        label = jump.select("u", F.col("new").alias("root"))
+        far = step.select(F.col("u").alias("new"), F.col("new").alias("far"))
+        jump = written(step.join(far, "new").select("u", "root", F.least("new", "far").alias("new")), "labels")
+        drop(label)
+        changed = bool(jump.filter("root <> new").take(1))
+        label = written(jump.select("u", F.col("new").alias("root")), "labels")
+        drop(jump)
+        if not changed:
+            drop(both)
+            return label

@@ -95,7 +95,7 @@ def _(t):
 
 @query("maf_histogram", "geno samp", "SELECT least(CAST(floor(maf * 100) AS BIGINT), 49) AS bin, count(*) AS n FROM (SELECT variant_idx, least(sum(dosage) / (2.0::DOUBLE * (SELECT count(*) FROM samp)), 1 - sum(dosage) / (2.0::DOUBLE * (SELECT count(*) FROM samp))) AS maf FROM geno GROUP BY 1) GROUP BY 1")
 def _(t):
-    rows = C.allele_frequency(t.genotype, t.sample.count())
+    rows = C.allele_frequency(t.genotype, t.total[0])
     return rows.groupBy(F.least(F.floor(F.col("maf") * 100), F.lit(49)).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -119,11 +119,13 @@ def _(t):
 
 
 def _greedy(mode: str, test: str) -> None:
+    # Rounds over the similar pairs: a later set goes if an earlier kept one is similar; it stays once all earlier similar ones are gone.
+    gone = "SELECT hi FROM e WHERE list_contains(g.kept, lo)"
     sql = (
         f"WITH RECURSIVE {_PAIRS}, o AS (SELECT set_id, row_number() OVER (ORDER BY n, set_id) AS k FROM n), "
-        f"e AS (SELECT least(x.k, y.k) AS lo, greatest(x.k, y.k) AS hi FROM sim JOIN o x ON a = x.set_id JOIN o y ON b = y.set_id WHERE {test}), "
-        "g(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE hi = g.k + 1 AND list_contains(g.kept, lo)) THEN kept ELSE list_append(kept, k + 1) END FROM g WHERE k < (SELECT count(*) FROM o)) "
-        "SELECT set_id FROM o WHERE list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), o.k)"
+        f"e AS MATERIALIZED (SELECT least(x.k, y.k) AS lo, greatest(x.k, y.k) AS hi FROM sim JOIN o x ON a = x.set_id JOIN o y ON b = y.set_id WHERE {test}), c AS MATERIALIZED (SELECT lo AS k FROM e UNION SELECT hi FROM e), "
+        f"g(step, kept, n) AS (SELECT 0, []::BIGINT[], -1::BIGINT UNION ALL SELECT step + 1, (SELECT list(k) FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE hi = k AND lo NOT IN ({gone}))), len(kept) FROM g WHERE len(kept) <> n) "
+        "SELECT set_id FROM o WHERE k NOT IN (SELECT k FROM c) OR list_contains((SELECT kept FROM g ORDER BY step DESC LIMIT 1), k)"
     )
 
     @query(f"geneset_greedy_dedupe_{mode}", sql=sql)
@@ -160,24 +162,24 @@ def joined(c):
 
 @query("wpm_index_sets", "wpm", f"SELECT pathway_id, {_J.format(c='ind')} AS ind, indsize, size FROM wpm")
 def _(t):
-    return G.wpm_sets(t.member).withColumn("ind", joined("ind"))
+    return t.wpm.withColumn("ind", joined("ind"))
 
 
 @query("bpm_index_sets", "bpm", f"SELECT path1, path2, {_J.format(c='ind1')} AS ind1, {_J.format(c='ind2')} AS ind2, ind1size, ind2size, size FROM bpm")
 def _(t):
-    return G.bpm_sets(G.wpm_sets(t.member)).withColumn("ind1", joined("ind1")).withColumn("ind2", joined("ind2"))
+    return t.bpm.withColumn("ind1", joined("ind1")).withColumn("ind2", joined("ind2"))
 
 
 @query("dedupe_row_sets", "wpm bpm", "SELECT path1, path2, dense_rank() OVER (ORDER BY ind1) - 1 AS row_set_id FROM bpm")
 def _(t):
-    return G.row_set_ids(G.bpm_sets(G.wpm_sets(t.member)).select("path1", "path2", "ind1"), "ind1").select("path1", "path2", F.col("row_set_id").cast("long").alias("row_set_id"))
+    return G.row_set_ids(t.bpm.select("path1", "path2", "ind1"), "ind1").select("path1", "path2", F.col("row_set_id").cast("long").alias("row_set_id"))
 
 
 @query("hypergeom_tail", "marg_d tot", None)
 def _(t):
     from ..operators import network as N
 
-    m = N.marginals(N.carriers(t.genotype, t.sample, "D"))
+    m = N.marginals(N.coded(t.carrier, "D"))
     n = t.sample.agg(F.count("*").alias("nn"), F.sum("pheno").cast("long").alias("nc"))
     known = m.select("n", "x").distinct().join(F.broadcast(n), F.lit(True))  # one row
     return known.select("n", "x", F.round(S.hypergeometric_tail(F.col("x"), F.col("n"), F.col("nc"), F.col("nn")), 6).alias("p"))

@@ -13,15 +13,15 @@ from .registry import query
 
 
 def edges(t, model="DD", effect="risk"):
-    return N.network(t.genotype, t.sample, model, effect)
+    return t.network(model, effect)
 
 
 def wpm(t):
-    return G.wpm_sets(t.member)
+    return t.wpm
 
 
 def bpm(t):
-    return G.bpm_sets(wpm(t))
+    return t.bpm
 
 
 def _six(rows, *columns):
@@ -30,14 +30,13 @@ def _six(rows, *columns):
 
 @query("variant_marginals", "marg_d", "SELECT * FROM marg_d")
 def _(t):
-    return N.marginals(N.carriers(t.genotype, t.sample, "D"))
+    return N.marginals(N.coded(t.carrier, "D"))
 
 
 def _pairs(key, model, symmetric):
     @query(f"pair_counts_{key}", f"pairs_{key}", f"SELECT * FROM pairs_{key}")
     def _(t):
-        a, b = N.carriers(t.genotype, t.sample, model[0]), N.carriers(t.genotype, t.sample, model[1])
-        return N.pair_counts(a, b, symmetric)
+        return N.pair_counts(N.coded(t.carrier, model[0]), N.coded(t.carrier, model[1]), symmetric)
 
 
 _pairs("dd", "DD", True)
@@ -47,13 +46,13 @@ _pairs("rd", "RD", False)
 
 @query("pair_counts_blocked", "pairs_dd", "SELECT * FROM pairs_dd")
 def _(t):
-    return N.pair_counts_blocked(N.carriers(t.genotype, t.sample, "D"))
+    return N.pair_counts_blocked(N.coded(t.carrier, "D"), t.n_variants)
 
 
 def _scores(model, effect, twin, table=None):
     @query(f"edge_score_{twin}_{model.lower()}", table or f"scores_{model.lower()}_{twin}", f"SELECT u, v, round(score, 6) AS score FROM {table or f'scores_{model.lower()}_{twin}'}")
     def _(t):
-        return _six(edges(t, model, effect), "score")
+        return _six(t.network(model, effect, again=True), "score")
 
 
 for _m in ("DD", "RR"):
@@ -64,9 +63,8 @@ _scores("RD", "risk", "risk", "net_rd_risk")
 
 @query("net_symmetrize_rd", "scores_rd_risk", "SELECT greatest(u, v) AS u, least(u, v) AS v, round(max(score), 6) AS score FROM scores_rd_risk GROUP BY 1, 2")
 def _(t):
-    rec, dom = N.carriers(t.genotype, t.sample, "R"), N.carriers(t.genotype, t.sample, "D")
-    cells = N.contingency(N.pair_counts(rec, dom, False), N.marginals(rec), N.marginals(dom), t.sample)
-    return _six(N.symmetrized(N.scored(cells, "risk")), "score")
+    rec, dom = N.coded(t.carrier, "R"), N.coded(t.carrier, "D")
+    return _six(N.symmetrized(N.scored(N.pair_counts(rec, dom, False), N.marginals(rec), N.marginals(dom), t.total, "risk")), "score")
 
 
 @query(
@@ -79,12 +77,12 @@ def _(t):
 
 @query("net_density", "scores_dd_risk nvar", "SELECT count(*) * 2 AS nnz, round(count(*) * 2 / (any_value(s)::DOUBLE * any_value(s)), 6) AS density FROM scores_dd_risk CROSS JOIN nvar")
 def _(t):
-    return _six(N.density(edges(t), t.variant.count()), "density")
+    return _six(N.density(edges(t), t.n_variants), "density")
 
 
 @query("net_density_cutoff", "sym nvar", "SELECT round(quantile_cont(x, 0.995), 6) AS score_cutoff FROM (SELECT score AS x FROM sym UNION ALL SELECT 0.0 FROM range((SELECT s * s FROM nvar) - (SELECT count(*) FROM sym)))")
 def _(t):
-    return _six(N.density_cutoff(edges(t), t.variant.count(), 0.005), "score_cutoff")
+    return _six(N.density_cutoff(edges(t), t.n_variants, 0.005), "score_cutoff")
 
 
 @query("net_binarize", "scores_dd_risk", "SELECT u, v, 1.0::DOUBLE AS score FROM scores_dd_risk WHERE score >= 0.5")
@@ -101,7 +99,7 @@ _EXT = "SELECT l_suppkey AS u, l_partkey % (SELECT count(*) FROM supplier) AS v,
 
 
 def _external(t):
-    n = t.variant.count()
+    n = t.n_variants
     rows = t.table("lineitem").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % n).alias("v"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long") % 20).alias("line"), ((F.col("l_quantity").cast("long") % 20 + 1) / 21.0).alias("p"), (F.col("l_linenumber") - 4).cast("double").alias("effect"))
     return rows.filter("u <> v")
 
@@ -123,7 +121,7 @@ def _(t):
 
 @query("path_row_sums", "pathsum", "SELECT * FROM pathsum")
 def _(t):
-    return M.path_row_sums(M.exact(edges(t)), wpm(t).select("pathway_id", F.explode("ind").alias("variant_idx")))
+    return M.path_row_sums(M.exact(edges(t)), t.wpm_member)
 
 
 @query("wpm_block_sum", "wpm symx m", "SELECT pathway_id, coalesce(b, 0) AS block_sum FROM wpm LEFT JOIN (SELECT x.pathway_id, CAST(sum(score) AS BIGINT) AS b FROM symx JOIN m x ON u = x.variant_idx JOIN m y ON v = y.variant_idx AND x.pathway_id = y.pathway_id GROUP BY 1) USING (pathway_id)")
@@ -141,7 +139,7 @@ def _(t):
 
 @query("bpm_block_sum_ie", "bpm b1 b2 symx", _BLOCK)
 def _(t):
-    return M.bpm_block_sum_ie(M.exact(edges(t)), wpm(t).select("pathway_id", F.explode("ind").alias("variant_idx")), bpm(t))
+    return M.bpm_block_sum_ie(M.exact(edges(t)), t.wpm_member, bpm(t))
 
 
 def _binary(t):
@@ -150,7 +148,7 @@ def _binary(t):
 
 @query("chi2_2x2", "marg_d tot", "SELECT variant_idx, round(CASE WHEN x > 0 AND n > x AND nc > x AND nn - nc - n + x > 0 THEN nn::DOUBLE * pow(x::DOUBLE * (nn - nc - n + x) - (n - x)::DOUBLE * (nc - x), 2) / (n::DOUBLE * (nn - n) * nc * (nn - nc)) END, 6) AS stat FROM marg_d CROSS JOIN tot")
 def _(t):
-    m = N.marginals(N.carriers(t.genotype, t.sample, "D"))
+    m = N.marginals(N.coded(t.carrier, "D"))
     n = t.sample.agg(F.count("*").alias("nn"), F.sum("pheno").cast("long").alias("nc"))
     rows = m.join(F.broadcast(n), F.lit(True))  # one row
     x, c = F.col("x"), F.col("n")
@@ -159,28 +157,28 @@ def _(t):
 
 @query("wpm_chi2", "wchi", "SELECT pathway_id, indsize, size, gi, bggi, notgi, bgnotgi, round(stat, 6) AS stat, under FROM wchi")
 def _(t):
-    return _six(M.wpm_chi2(_binary(t), wpm(t), t.variant.count()), "stat").withColumns({c: F.col(c).cast("double") for c in ("gi", "bggi", "notgi", "bgnotgi")})
+    return _six(M.wpm_chi2(_binary(t), wpm(t), t.n_variants), "stat").withColumns({c: F.col(c).cast("double") for c in ("gi", "bggi", "notgi", "bgnotgi")})
 
 
 @query("bpm_chi2", "bchi", "SELECT path1, path2, gi, round(stat1, 6) AS stat1, round(stat2, 6) AS stat2, under1, under2, round(density1, 6) AS density1, round(density2, 6) AS density2 FROM bchi")
 def _(t):
-    return _six(M.bpm_chi2(_binary(t), bpm(t), t.variant.count()), "stat1", "stat2", "density1", "density2").select("path1", "path2", "gi", "stat1", "stat2", "under1", "under2", "density1", "density2")
+    return _six(M.bpm_chi2(_binary(t), bpm(t), t.n_variants), "stat1", "stat2", "density1", "density2").select("path1", "path2", "gi", "stat1", "stat2", "under1", "under2", "density1", "density2")
 
 
 @query("bpm_dense_index", "bside", "SELECT path1, path2, CAST(dense_index AS INTEGER) AS dense_index, round(CASE dense_index WHEN 1 THEN g1 WHEN 2 THEN g2 ELSE 0.0 END, 6) AS signed_stat FROM bside")
 def _(t):
-    return _six(M.dense_side(M.bpm_chi2(_binary(t), bpm(t), t.variant.count())), "signed_stat").select("path1", "path2", "dense_index", "signed_stat")
+    return _six(M.dense_side(M.bpm_chi2(_binary(t), bpm(t), t.n_variants)), "signed_stat").select("path1", "path2", "dense_index", "signed_stat")
 
 
 @query("bpm_stats_binary", "bside", "SELECT path1, path2, round(gi / size, 6) AS density, round(CASE dense_index WHEN 1 THEN g1 WHEN 2 THEN g2 ELSE 0.0 END, 6) AS local_stat FROM bside WHERE CASE dense_index WHEN 1 THEN g1 WHEN 2 THEN g2 ELSE 0.0 END >= 2.705543")
 def _(t):
-    rows = M.dense_side(M.bpm_chi2(_binary(t), bpm(t), t.variant.count())).filter("signed_stat >= 2.705543")  # p 0.1
+    rows = M.dense_side(M.bpm_chi2(_binary(t), bpm(t), t.n_variants)).filter("signed_stat >= 2.705543")  # p 0.1
     return _six(rows.select("path1", "path2", (F.col("gi") / F.col("size")).alias("density"), F.col("signed_stat").alias("local_stat")), "density", "local_stat")
 
 
 @query("block_midranks", "w_rank", "SELECT pathway_id, u, v, score, midrank::DOUBLE AS midrank FROM w_rank")
 def _(t):
-    return M.block_ranks(M.exact(edges(t)), wpm(t), ["pathway_id"], "ind", t.variant.count()).select("pathway_id", "u", "v", "score", F.col("midrank").cast("double").alias("midrank"))
+    return M.block_ranks(M.exact(edges(t)), wpm(t), ["pathway_id"], "ind", t.n_variants).select("pathway_id", "u", "v", "score", F.col("midrank").cast("double").alias("midrank"))
 
 
 @query("degree_midranks", "degrank", "SELECT variant_idx, degree, midrank::DOUBLE AS midrank FROM degrank")
@@ -203,12 +201,12 @@ def _ranksum(name, prefix, keys, table):
 
 
 def _w_ranks(t):
-    return M.rank_sums(M.exact(edges(t)), wpm(t), ["pathway_id"], "ind", "ind", t.variant.count())
+    return M.rank_sums(M.exact(edges(t)), wpm(t), ["pathway_id"], "ind", "ind", t.n_variants)
 
 
 def _b_ranks(t):
-    rows = M.swapped(M.dense_side(M.bpm_chi2(_binary(t), bpm(t), t.variant.count())))
-    return M.rank_sums(M.exact(edges(t)), rows, ["path1", "path2"], "rows", "cols", t.variant.count())
+    rows = M.swapped(M.dense_side(M.bpm_chi2(_binary(t), bpm(t), t.n_variants)))
+    return M.rank_sums(M.exact(edges(t)), rows, ["path1", "path2"], "rows", "cols", t.n_variants)
 
 
 _ranksum("wpm_ranksum", "w", ["pathway_id"], _w_ranks)
@@ -226,25 +224,30 @@ def _(t):
     return M.path_degree(M.exact(edges(t)), t.variant, wpm(t)).select("pathway_id", F.round(F.col("rank_in").cast("double"), 4).alias("rank_in"), F.round("z", 6).alias("z"))
 
 
-# The upper tail by Taylor's series of erf, for |z| < 4; DuckDB has no erf.
-_TAYLOR = "CASE WHEN z IS NULL THEN 1.0 ELSE 0.5 - list_sum(list_transform(range(0, 80), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow(z, 2 * k + 1) / (pow(2.0, k) * exp(lgamma(k::DOUBLE + 1)) * (2 * k + 1)))) / sqrt(2 * pi()) END"
+# The upper tail by Taylor's series of erf; DuckDB has no erf. From |z| = 6 on it is 0 or 1 to six decimals.
+_TAYLOR = "CASE WHEN z IS NULL THEN 1.0 WHEN z >= 6 THEN 0.0 WHEN z <= -6 THEN 1.0 ELSE 0.5 - list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow(z, 2 * k + 1) / (pow(2.0, k) * exp(lgamma(k::DOUBLE + 1)) * (2 * k + 1)))) / sqrt(2 * pi()) END"
 
 
-@query("pvalue_from_z", _PD, f"SELECT pathway_id, round({_TAYLOR}, 6) AS p FROM ({_PATHZ}) WHERE z IS NULL OR abs(z) < 4")
+@query("pvalue_from_z", _PD, f"SELECT pathway_id, round({_TAYLOR}, 6) AS p FROM ({_PATHZ})")
 def _(t):
-    rows = M.path_degree(M.exact(edges(t)), t.variant, wpm(t)).filter("z is null or abs(z) < 4")
-    return rows.select("pathway_id", F.round(S.normal_tail(F.col("z")), 6).alias("p"))
+    return M.path_degree(M.exact(edges(t)), t.variant, wpm(t)).select("pathway_id", F.round(S.normal_tail(F.col("z")), 6).alias("p"))
+
+
+# Both tails of a statistic with one degree of freedom are those of its root.
+@query("pvalue_from_chi2", "wchi", f"SELECT pathway_id, round(CASE WHEN z IS NULL THEN 1.0 ELSE 2 * ({_TAYLOR}) END, 6) AS p FROM (SELECT pathway_id, sqrt(stat) AS z FROM wchi)")
+def _(t):
+    return M.wpm_chi2(_binary(t), wpm(t), t.n_variants).select("pathway_id", F.round(S.chi2_tail(F.col("stat")), 6).alias("p"))
 
 
 @query("density_expected", "wpm symx m nvar", "SELECT pathway_id, round(coalesce(t, 0) / (indsize * s) / 1e6, 6) AS density_expected FROM wpm LEFT JOIN (SELECT pathway_id, sum(score)::DOUBLE AS t FROM symx JOIN m ON u = variant_idx GROUP BY 1) USING (pathway_id) CROSS JOIN nvar")
 def _(t):
-    rows = M.expected_density(M.exact(edges(t)), wpm(t), t.variant.count())
+    rows = M.expected_density(M.exact(edges(t)), wpm(t), t.n_variants)
     return rows.select("pathway_id", F.round(F.col("density_expected") / 1e6, 6).alias("density_expected"))
 
 
 @query("module_stats_all", f"wchi w_mw {_PD}", f"SELECT pathway_id, round(stat, 6) AS chi2, under, block_sum, round(w_mw.z, 6) AS z_block, round(d.z, 6) AS z_degree FROM wchi JOIN w_mw USING (pathway_id) JOIN ({_PATHZ}) d USING (pathway_id)")
 def _(t):
-    e, w, n = M.exact(edges(t)), wpm(t), t.variant.count()
+    e, w, n = M.exact(edges(t)), wpm(t), t.n_variants
     a = M.wpm_chi2(_binary(t), w, n).select("pathway_id", F.round("stat", 6).alias("chi2"), "under")
     b = M.rank_sums(e, w, ["pathway_id"], "ind", "ind", n).select("pathway_id", "block_sum", F.round("z", 6).alias("z_block"))
     return a.join(b, "pathway_id").join(M.path_degree(e, t.variant, w).select("pathway_id", F.round("z", 6).alias("z_degree")), "pathway_id")
@@ -289,7 +292,7 @@ def _merge(needs, body):
 @query("wpm_perm_exceed")
 def _(t):
     e = M.exact(edges(t))
-    member = wpm(t).select("pathway_id", F.explode("ind").alias("variant_idx"))
+    member = t.wpm_member
     return P.exceedances(M.path_row_sums(e, member), ["pathway_id"], member.withColumnRenamed("variant_idx", "v"), P.permuted_variants(t.variant, 20))
 
 
@@ -309,13 +312,13 @@ SQL["bpm_perm_exceed"] = _merge("b1 b2 symx perm", "rs AS (SELECT path1, path2,
 @query("path_perm_exceed", "m degrank perm", "SELECT pathway_id, obs, count(*) FILTER (s > obs) AS exceed FROM (SELECT pathway_id, CAST(sum(2 * midrank) AS BIGINT) AS obs FROM m JOIN degrank USING (variant_idx) GROUP BY 1) JOIN (SELECT pathway_id, k, CAST(sum(2 * midrank) AS BIGINT) AS s FROM m JOIN perm ON m.variant_idx = perm.v JOIN degrank d ON d.variant_idx = q GROUP BY 1, 2) USING (pathway_id) GROUP BY 1, 2")
 def _(t):
     ranks = M.degree_ranks(M.exact(edges(t)), t.variant)
-    return P.path_exceedances(ranks, wpm(t).select("pathway_id", F.explode("ind").alias("variant_idx")), P.permuted_variants(t.variant, 20)).select("pathway_id", "obs", "exceed")
+    return P.path_exceedances(ranks, t.wpm_member, P.permuted_variants(t.variant, 20)).select("pathway_id", "obs", "exceed")
 
 
 @query("empirical_pvalue")
 def _(t):
     ranks = M.degree_ranks(M.exact(edges(t)), t.variant)
-    rows = P.path_exceedances(ranks, wpm(t).select("pathway_id", F.explode("ind").alias("variant_idx")), P.permuted_variants(t.variant, 20))
+    rows = P.path_exceedances(ranks, t.wpm_member, P.permuted_variants(t.variant, 20))
     return rows.select("pathway_id", P.empirical_p(F.col("exceed"), 20).alias("pv"))
 
 

@@ -53,7 +53,7 @@ def _table(t):
 @query("stack_effects", "point", "SELECT module, pv, 'protective' AS effect FROM point WHERE r = 0 UNION ALL SELECT module + (SELECT count(*) FROM supplier), pv, 'risk' FROM point WHERE r = 1")
 def _(t):
     p = t.score_point
-    return R.stacked(p.filter("r = 0").select("module", "pv"), p.filter("r = 1").select("module", "pv"), t.variant.count())
+    return R.stacked(p.filter("r = 0").select("module", "pv"), p.filter("r = 1").select("module", "pv"), t.n_variants)
 
 
 @query("result_table_sorted", "real", f"SELECT *, row_number() OVER (ORDER BY fdr, pv, s DESC, module) - 1 AS place FROM ({_TABLE})")
@@ -91,7 +91,7 @@ def _merge(needs, body):
 
 
 def _ld(t):
-    return C.ld_pairs(t.genotype, t.variant, t.sample.count())
+    return C.ld_pairs(t.genotype, t.variant, t.total[0])
 
 
 @query("ld_pairwise_r2")
@@ -104,10 +104,10 @@ SQL["ld_pairwise_r2"] = _merge("geno variant tot", f"{_LD} SELECT u, v, round(r2
 
 @query("pair_ld_lookup")
 def _(t):
-    return R.pair_ld(edges(t).select("u", "v"), t.variant, _ld(t).filter("r2 >= 0.0001"))
+    return R.pair_ld(edges(t).select("u", "v"), t.variant, _ld(t))
 
 
-SQL["pair_ld_lookup"] = _merge("geno variant tot scores_dd_risk", f"{_LD} SELECT u, v, CASE WHEN a.chrom <> b.chrom THEN 'NA' WHEN coalesce(r2, 0.0) >= 0.001 THEN printf('%.3f', r2) ELSE printf('%.3e', coalesce(r2, 0.0)) END AS ld FROM scores_dd_risk JOIN variant a ON u = a.variant_idx JOIN variant b ON v = b.variant_idx LEFT JOIN (SELECT * FROM ld WHERE r2 >= 0.0001) USING (u, v)")
+SQL["pair_ld_lookup"] = _merge("geno variant tot scores_dd_risk", f"{_LD} SELECT u, v, CASE WHEN a.chrom <> b.chrom THEN 'NA' WHEN coalesce(r2, 0.0) >= 0.001 THEN printf('%.3f', r2) ELSE printf('%.3e', coalesce(r2, 0.0)) END AS ld FROM scores_dd_risk JOIN variant a ON u = a.variant_idx JOIN variant b ON v = b.variant_idx LEFT JOIN ld USING (u, v)")
 
 
 @query("ld_stitch_offsets", "variant", "SELECT chrom, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY chrom) - count(*) AS BIGINT) AS start FROM variant GROUP BY 1")
@@ -161,7 +161,7 @@ SQL["interaction_list"] = _merge(
 
 @query("driver_topk")
 def _(t):
-    rows = R.drivers(edges(t), wpm(t), ["pathway_id"], "ind", "ind", t.variant.count())
+    rows = R.drivers(edges(t), wpm(t), ["pathway_id"], "ind", "ind", t.n_variants)
     return _six(rows.select("pathway_id", "u", "n_in", "n_all", "fold", "tail", F.col("place").cast("long").alias("place")), "fold", "tail")
 
 
@@ -217,18 +217,19 @@ SQL["redundancy_groups"] = _merge(
 @query("network_map_edges")
 def _(t):
     eff = lambda c: F.when(F.col(c) % 2 == 0, "protective").otherwise("risk")
-    w = wpm(t).filter("pathway_id % 9 = 0").select(F.col("pathway_id").alias("pathway"), eff("pathway_id").alias("effect"))
+    w = _modules(t).filter(R.significant(F.col("fdr"), 0.1)).select(F.col("module").alias("pathway"), eff("module").alias("effect"))
     b = bpm(t).select(F.col("path1").alias("p1"), F.col("path2").alias("p2"), ((F.col("path1") * 31 + F.col("path2") * 17) % 97).alias("h"))
-    rows = b.filter("h < 20").select("p1", "p2", eff("h").alias("effect"))
-    reps = b.filter("h < 60").select("p1", "p2", eff("p2").alias("effect"), (F.col("h") / 100.0).alias("fdr"), (F.col("p1") * 100 + F.col("p2")).alias("grp"))
+    b = b.withColumn("fdr", F.col("h") / 100.0).filter(R.significant(F.col("fdr"), 0.25))
+    rows = b.select("p1", "p2", eff("h").alias("effect"))
+    reps = b.select("p1", "p2", eff("p2").alias("effect"), "fdr", (F.col("p1") * 100 + F.col("p2")).alias("grp"))
     return R.map_edges(w, rows, reps)
 
 
 SQL["network_map_edges"] = _merge(
     "wpm bpm",
-    "w AS (SELECT pathway_id AS p, CASE WHEN pathway_id % 2 = 0 THEN 'protective' ELSE 'risk' END AS effect FROM wpm WHERE pathway_id % 9 = 0), h AS (SELECT path1 AS p1, path2 AS p2, (path1 * 31 + path2 * 17) % 97 AS h FROM bpm), "
-    "d AS (SELECT p AS p1, p AS p2, effect, 0 AS layer, 0 AS n FROM w UNION ALL SELECT p1, p2, CASE WHEN h % 2 = 0 THEN 'protective' ELSE 'risk' END, 1, h % 2 FROM h WHERE h < 20 AND (p1 IN (SELECT p FROM w) OR p2 IN (SELECT p FROM w)) "
-    "UNION ALL (SELECT p1, p2, CASE WHEN p2 % 2 = 0 THEN 'protective' ELSE 'risk' END, 2, row_number() OVER (ORDER BY h, p1 * 100 + p2) FROM h WHERE h < 60 ORDER BY h, p1 * 100 + p2 LIMIT 20)) "
+    "w AS (SELECT pathway_id AS p, CASE WHEN pathway_id % 2 = 0 THEN 'protective' ELSE 'risk' END AS effect FROM wpm WHERE (pathway_id * 37 % 50) / 100.0::DOUBLE <= 0.1), h AS (SELECT path1 AS p1, path2 AS p2, (path1 * 31 + path2 * 17) % 97 AS h FROM bpm), "
+    "d AS (SELECT p AS p1, p AS p2, effect, 0 AS layer, 0 AS n FROM w UNION ALL SELECT p1, p2, CASE WHEN h % 2 = 0 THEN 'protective' ELSE 'risk' END, 1, h % 2 FROM h WHERE h <= 25 AND (p1 IN (SELECT p FROM w) OR p2 IN (SELECT p FROM w)) "
+    "UNION ALL (SELECT p1, p2, CASE WHEN p2 % 2 = 0 THEN 'protective' ELSE 'risk' END, 2, row_number() OVER (ORDER BY h, p1 * 100 + p2) FROM h WHERE h <= 25 ORDER BY h, p1 * 100 + p2 LIMIT 20)) "
     "SELECT least(p1, p2) AS node1, greatest(p1, p2) AS node2, arg_max(CASE effect WHEN 'protective' THEN 'orange' ELSE 'blue' END, layer * 1000 + n) AS colour FROM d GROUP BY 1, 2",
 )
 
@@ -291,13 +292,17 @@ def _(t):
 @query("score_projection", "geno tot variant", "SELECT sample_id, round(sum(dosage / sd * w) + any_value(base), 6) AS score FROM geno JOIN (SELECT *, sum(-2 * af / sd * w) OVER () AS base FROM (SELECT variant_idx, af, sqrt(2 * af * (1 - af)) AS sd, (variant_idx % 11 - 5) / 10.0::DOUBLE AS w FROM (SELECT variant_idx, sum(dosage) / (2.0::DOUBLE * any_value(nn)) AS af FROM geno CROSS JOIN tot GROUP BY 1)) WHERE sd > 0) USING (variant_idx) GROUP BY 1")
 def _(t):
     w = t.variant.select("variant_idx", ((F.col("variant_idx") % 11 - 5) / 10.0).alias("weight"))
-    return _six(C.projected_scores(t.genotype, w, t.sample.count()), "score")
+    return _six(C.projected_scores(t.genotype, w, t.total[0]), "score")
 
 
-@query("pc_standardize", "pcdim", "SELECT iid, dim::INTEGER AS dim, round((x - avg(x) OVER (PARTITION BY dim)) / stddev_samp(x) OVER (PARTITION BY dim), 5) AS z FROM pcdim WHERE dim < 10")
+@query("pc_standardize", "pcdim", "SELECT iid, dim::INTEGER AS dim, round((x - avg(x) OVER (PARTITION BY dim)) / stddev_samp(x) OVER (PARTITION BY dim), 5) AS z FROM pcdim")
 def _(t):
-    rows = t.coordinate.withColumn("pc", F.slice("pc", 1, 10))
-    return C.standardized(rows).withColumn("z", F.round("z", 5))
+    return C.standardized(t.coordinate).withColumn("z", F.round("z", 5))
+
+
+@query("pc_weighted", "pcdim", "SELECT iid, dim::INTEGER AS dim, round((x - avg(x) OVER (PARTITION BY dim)) / stddev_samp(x) OVER (PARTITION BY dim) * sqrt(1.0::DOUBLE / (dim + 1)), 5) AS z FROM pcdim")
+def _(t):
+    return C.standardized(t.coordinate, [64.0 / (i + 1) for i in range(64)]).withColumn("z", F.round("z", 5))
 
 
 _D2 = "list_sum(list_transform(range(1, 65), lambda i: pow(a.pc[i] - b.{c}[i], 2)))"
@@ -359,39 +364,40 @@ def _(t):
 
 @query("ld_prune")
 def _(t):
-    return C.ld_prune(_ld(t), t.variant, C.allele_frequency(t.genotype, t.sample.count()), 0.002)
+    return C.ld_prune(_ld(t), t.variant, C.allele_frequency(t.genotype, t.total[0]), 0.002)
 
 
 @query("qc_hwe_filter")
 def _(t):
-    return _six(C.hwe_filter(C.genotype_counts(t.genotype, t.sample.count()), 1e-6).select("variant_idx", "midp"), "midp")
+    return _six(C.hwe_filter(C.genotype_counts(t.genotype, t.total[0]), 1e-6).select("variant_idx", "midp"), "midp")
 
 
 @query("king_kinship")
 def _(t):
-    return _six(C.king_kinship(t.genotype), "kinship")
+    return _six(C.king_kinship(t.genotype, 0.0442), "kinship")
 
 
 SQL["king_kinship"] = _merge(
     "geno",
     "k AS (SELECT * FROM geno), o AS (SELECT sample_id, count(*) FILTER (dosage = 1) AS het, count(*) FILTER (dosage = 2) AS hom FROM k GROUP BY 1), "
-    "b AS (SELECT x.sample_id AS a, y.sample_id AS b, count(*) FILTER (x.dosage = 1 AND y.dosage = 1) AS hethet, count(*) FILTER (x.dosage = 2) AS ha, count(*) FILTER (y.dosage = 2) AS hb FROM k x JOIN k y ON x.variant_idx = y.variant_idx AND x.sample_id < y.sample_id GROUP BY 1, 2) "
-    "SELECT b.a, b.b, hethet, p.hom - ha + q.hom - hb AS ibs0, round((hethet - 2.0::DOUBLE * (p.hom - ha + q.hom - hb)) / nullif(p.het + q.het, 0), 6) AS kinship FROM b JOIN o p ON p.sample_id = b.a JOIN o q ON q.sample_id = b.b",
+    "b AS (SELECT x.sample_id AS a, y.sample_id AS b, count(*) FILTER (x.dosage = 1 AND y.dosage = 1) AS hethet, count(*) FILTER (x.dosage = 2) AS ha, count(*) FILTER (y.dosage = 2) AS hb FROM k x JOIN k y ON x.variant_idx = y.variant_idx AND x.sample_id < y.sample_id GROUP BY 1, 2), "
+    "f AS (SELECT b.a, b.b, hethet, p.hom - ha + q.hom - hb AS ibs0, p.het AS x, q.het AS y, nullif(least(p.het, q.het), 0) AS m FROM b JOIN o p ON p.sample_id = b.a JOIN o q ON q.sample_id = b.b), "
+    "v AS (SELECT a, b, hethet, ibs0, 0.5::DOUBLE - (4.0::DOUBLE * ibs0 + (x - hethet) + (y - hethet)) / (4 * m) AS kin FROM f) SELECT a, b, hethet, ibs0, round(kin, 6) AS kinship FROM v WHERE kin >= 0.0442",
 )
 
-_REL = "SELECT DISTINCT c_custkey AS a, (c_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS b FROM customer WHERE c_custkey % 5 = 0 AND c_custkey <> (c_custkey * 7 + 3) % (SELECT count(*) FROM customer)"
+_REL = "SELECT DISTINCT c_custkey AS a, (c_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS b FROM customer WHERE c_custkey <> (c_custkey * 7 + 3) % (SELECT count(*) FROM customer)"
 
 
 @query("relatedness_prune")
 def _(t):
-    n = t.sample.count()
-    pairs = t.sample.filter("sample_id % 5 = 0").select(F.col("sample_id").alias("a"), ((F.col("sample_id") * 7 + 3) % n).alias("b"))
+    n = t.total[0]
+    pairs = t.sample.select(F.col("sample_id").alias("a"), ((F.col("sample_id") * 7 + 3) % n).alias("b"))
     return C.relatedness_prune(pairs, t.sample.select(F.col("sample_id").alias("id"), "pheno"))
 
 
 SQL["relatedness_prune"] = _merge(
     "samp",
-    f"e AS (SELECT DISTINCT greatest(a, b) AS u, least(a, b) AS v FROM ({_REL})), bo AS (SELECT u AS x, v AS y FROM e UNION ALL SELECT v, u FROM e), "
+    f"e AS (SELECT DISTINCT greatest(a, b) AS u, least(a, b) AS v FROM ({_REL})), bo AS MATERIALIZED (SELECT u AS x, v AS y FROM e UNION ALL SELECT v, u FROM e), "
     "g(step, gone) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT step + 1, list_append(gone, (SELECT x FROM bo JOIN samp ON x = sample_id WHERE NOT list_contains(g.gone, x) AND NOT list_contains(g.gone, y) GROUP BY x, pheno ORDER BY CASE pheno WHEN 0 THEN 1 ELSE 2 END, count(*) DESC, x LIMIT 1)) "
     "FROM g WHERE EXISTS (SELECT 1 FROM bo WHERE NOT list_contains(g.gone, x) AND NOT list_contains(g.gone, y))) SELECT unnest((SELECT gone FROM g ORDER BY step DESC LIMIT 1)) AS id",
 )
@@ -412,12 +418,12 @@ SQL["qc_missingness"] = _merge(
 
 @query("qc_maf", "geno tot", "SELECT variant_idx, CAST(sum(dosage) AS BIGINT) AS alt, round(sum(dosage) / (2.0::DOUBLE * any_value(nn)), 6) AS af FROM geno CROSS JOIN tot GROUP BY 1 HAVING least(sum(dosage) / (2.0::DOUBLE * any_value(nn)), 1 - sum(dosage) / (2.0::DOUBLE * any_value(nn))) >= 0.12")
 def _(t):
-    return _six(C.allele_frequency(t.genotype, t.sample.count()).filter("maf >= 0.12").select("variant_idx", "alt", "af"), "af")
+    return _six(C.allele_frequency(t.genotype, t.total[0]).filter("maf >= 0.12").select("variant_idx", "alt", "af"), "af")
 
 
 @query("qc_hwe_counts", "geno tot", "SELECT variant_idx, count(*) FILTER (dosage = 1) AS het, count(*) FILTER (dosage = 2) AS hom_alt, any_value(nn) - count(*) AS hom_ref FROM geno CROSS JOIN tot GROUP BY 1")
 def _(t):
-    return C.genotype_counts(t.genotype, t.sample.count())
+    return C.genotype_counts(t.genotype, t.total[0])
 
 
 _CALL = "SELECT l_suppkey AS group_id, l_partkey % 50 AS sample_id, l_linenumber % 3 AS call FROM lineitem"

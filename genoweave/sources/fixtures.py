@@ -14,7 +14,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sets import size_filter
+from ..operators import network as N
+from ..operators.sets import bpm_sets, size_filter, wpm_sets
+from ..store import written
+
+
+_shared: dict[tuple, dict] = {}
 
 
 class Fixtures:
@@ -53,6 +58,53 @@ class Fixtures:
         limit = n.groupBy("pathway_id").agg((F.avg("n") + F.stddev_samp("n")).alias("limit"))
         return n.join(limit, "pathway_id").filter("n > limit").select("pathway_id", "variant_idx")
 
+    # Stored tables, as the engine's stages leave them for the next one. A session makes each once for a state of the input files.
+
+    @cached_property
+    def _stored(self) -> dict:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        state = []
+        for name in ("lineitem", "orders", "customer", "supplier", "part"):
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+            status = at.getFileSystem(conf).getFileStatus(at)
+            state.append((name, status.getLen(), status.getModificationTime()))
+        return _shared.setdefault((self.spark.sparkContext.applicationId, self.sf_dir, *state), {})
+
+    def _once(self, name, make):
+        if name not in self._stored:
+            self._stored[name] = make()
+        return self._stored[name]
+
+    @property
+    def carrier(self) -> DataFrame:
+        return self._once("carrier", lambda: N.carrier_table(self.genotype, self.sample))
+
+    @property
+    def total(self) -> tuple[int, int]:
+        return self._once("total", lambda: N.totals(self.sample))
+
+    @property
+    def n_variants(self) -> int:
+        return self._once("variants", self.variant.count)
+
+    def network(self, model: str = "DD", effect: str = "risk", again: bool = False) -> DataFrame:
+        """The stored network; again: computed anew."""
+        if again:
+            self._stored.pop((model, effect), None)
+        return self._once((model, effect), lambda: N.network_of(self.carrier, self.total, self.n_variants, model, effect))
+
+    @property
+    def wpm(self) -> DataFrame:
+        return self._once("wpm", lambda: written(wpm_sets(self.member), "wpm"))
+
+    @property
+    def wpm_member(self) -> DataFrame:
+        return self.wpm.select("pathway_id", F.explode("ind").alias("variant_idx"))
+
+    @property
+    def bpm(self) -> DataFrame:
+        return self._once("bpm", lambda: written(bpm_sets(self.wpm), "bpm"))
+
     @cached_property
     def gene_set(self) -> DataFrame:
         """pathway_id, gene: part sizes as pathways, their parts as genes."""

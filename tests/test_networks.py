@@ -25,13 +25,13 @@ def test_pair_counts_and_cells(cohort):
     dosage, pheno, g, s = cohort
     own = N.carriers(g, s, "D")
     m = N.marginals(own)
-    cells = N.contingency(N.pair_counts(own, own, True), m, m, s).collect()
+    cells = N.contingency(N.pair_counts(own, own, True), m, m, N.totals(s)).collect()
     for r in cells:
         both = [k for k in pheno if dosage[k, r["u"]] and dosage[k, r["v"]]]
         assert (r["g11"], r["x11"]) == (len(both), sum(pheno[k] for k in both))
         assert r["g11"] + r["g10"] + r["g01"] + r["g00"] == 24
         assert r["x11"] + r["x10"] + r["x01"] + r["x00"] == 10
-    assert {tuple(r) for r in N.pair_counts_blocked(own, block=3, sample_block=5).collect()} == {tuple(r) for r in N.pair_counts(own, own, True).collect()}
+    assert {tuple(r) for r in N.pair_counts_blocked(own, 8, block=3, sample_block=5).collect()} == {tuple(r) for r in N.pair_counts(own, own, True).collect()}
 
 
 def test_combined_ties(spark):
