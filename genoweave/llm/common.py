@@ -2,78 +2,82 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..store import drop, new_folder, release, written  # noqa: F401
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) a temporary folder where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="genoweave-"))
-    return base.rstrip("/")
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of this call's own in the shared one; it goes when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/genoweave-{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_drop, spark, path)
-    return path
+def sample_ids(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most `most` ids, those with the least hashes, so that the sample is the same on every run; written, so small it can be broadcast."""
+    ids = rows.select(F.col(id_col).alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
+    return written(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        drop_folder(spark, path)
-    except Exception:  # the session may have ended before
-        return
+def sample_texts(docs: DataFrame, labelled: DataFrame, label_col: str, most: int, id_col: str, text_col: str) -> DataFrame:
+    """t, y: texts of at most `most` rows, half of each label if there are as many, however often an id or a label is repeated."""
+    known = labelled.filter(F.col(label_col).isNotNull())
+    halves = [sample_ids(known.filter(F.col(label_col) == y), most // 2, id_col).withColumn("y", F.lit(y)) for y in (0, 1)]
+    ids = halves[0].unionByName(halves[1]).withColumnRenamed("doc_id", "__id")
+    found = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("t", "y")
+    order = (F.xxhash64("t"), "t")  # a limit in a fixed order, and of rows: repeated ids can't make more
+    return found.filter("y = 0").orderBy(*order).limit(most // 2).unionByName(found.filter("y = 1").orderBy(*order).limit(most // 2))
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def in_one_task(rows: DataFrame, fit, empty):
+    """fit(texts, labels) of a bounded sample, run in an executor: neither its texts nor its work are the driver's."""
+    import pickle
 
+    def run(batches):
+        import pyarrow as pa
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage ends there, and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, marks))], pa.binary())], ["model"])
 
+    model = rows.select("t", "y").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(model["model"])) if model else empty()
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files and broadcasts that no plan refers to any more; else they stay until the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+def by_text(docs: DataFrame, one, columns: list[tuple[str, str]], id_col: str, text_col: str) -> DataFrame:
+    """doc_id and one(text) (a tuple of `columns`) of every row. Ids stay Arrow integers, so null and large ones come through; null text is empty."""
+    names = [c for c, _ in columns]
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            rows = [one(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], KINDS[k]()) for i, (_, k) in enumerate(columns))], ["doc_id", *names])
 
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} {k}" for c, k in columns)]))
 
 
-def sample_ids(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most `most` ids, those with the least hashes, so that the sample is the same on every run; written, so small it can be broadcast."""
-    ids = rows.select(F.col(id_col).alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
-    return written(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
+class _Kinds(dict):
+    def __missing__(self, kind):
+        import pyarrow as pa
+
+        return {"long": pa.int64, "double": pa.float64, "boolean": pa.bool_, "binary": pa.binary}[kind]
+
+
+KINDS = _Kinds()
 
 
 def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:

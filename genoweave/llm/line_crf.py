@@ -14,9 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import sample_ids
+from .common import by_text, in_one_task, sample_texts
 
 #: Labelled rows the model is fitted on, at most; each with all its lines.
 SAMPLE_ROWS = 4_000
@@ -220,22 +219,10 @@ def learn(texts: list[str], good: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labelled: DataFrame, *, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on at most `rows` labelled rows, half of them bad if there are as many."""
-    known = labelled.filter(F.col(label_col).isNotNull())
-    halves = [sample_ids(known.filter(F.col(label_col) == y), rows // 2, id_col).withColumn("y", F.lit(y)) for y in (0, 1)]
-    ids = halves[0].unionByName(halves[1]).withColumnRenamed("doc_id", "__id")
-    found = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("t", "y").toPandas()
-    return learn(found["t"].tolist(), found["y"].tolist())
+    """Fits on at most `rows` labelled rows, half of them bad if there are as many, in one executor task."""
+    return in_one_task(sample_texts(docs, labelled, label_col, rows, id_col, text_col), learn, lambda: learn([], []))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and quality score (0 to 1) of every whole text. Null and empty texts have no bad line."""
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            ids = [None if n else int(k) for k, n in zip(batch["k"].tolist(), batch["k"].isna().tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "score": [model.score(t or "") for t in batch["t"].tolist()]})
-
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, score double")
+    return by_text(docs, lambda t: (model.score(t),), [("score", "double")], id_col, text_col)

@@ -1,35 +1,40 @@
 """Line de-duplication by deletion neighbourhoods.
 
-Two lines are alike if their words (A-Z lower-cased) are within one word edit: a word replaced, put in or left out. A
-line is removed if an earlier line, by (doc_id, line number), is equal or alike; the earliest stays. Lines of fewer than min_words words
-are never touched, lines of fewer than near_words words only as exact repeats. The queries take WHOLE: every line with a word.
+Two lines are alike if their words (A-Z lower-cased) are within one word edit: a word replaced, put in or left out. Lines of
+2 * edit_words words or more may differ by one word edit for each edit_words words of the shorter line. A line is removed if
+an earlier line, by (doc_id, line number), is equal or alike; the earliest stays. Exact repeats of every line with a word
+are removed; alike lines from near_words words on (at two words, any two lines with a common word would be alike).
+
+One pass over the texts makes a table of lines; a second one fetches the texts of those lines only that share a key.
 
 1. Each line becomes a hash and, from near_words words on, keys of all its words but one third: an edit lies in one third of the
    longer line's m words, and lines within one edit agree outside it. So each line has three keys as the longer line (m its own number
-   of words) and three as the shorter one. Lines whose keys no other line has can't have a partner and go no further.
+   of words) and three as the shorter one. Lines whose keys no other line has can't have a partner within one edit.
 2. The others emit their deletion variants: the line without its i-th word, for every i in a third that a shared key leaves open.
    Equal variants with equal i are a replaced word; a variant equal to a whole line is a word put in.
 3. Of each variant's lines only the earliest matters, so variants are aggregated to their earliest line, never
    paired off; a template line with a million fillings is one group. A line and that earliest one are verified on their words.
-
-With edit_words, lines of 2 * edit_words words or more may differ by one word edit for each edit_words words of the shorter line. Two such
-lines have a run of RUN words in common, so they share an anchor: of each RUN words the least hash of GRAM words. Under an
-anchor each line is compared with the earliest; those not removed by that with all others, in blocks: first by counts of words in
-BUCKETS buckets, which differ by two at most for each edit, then on their words.
+4. For more edits: e edits in n >= e * edit_words words leave a run of RUN words that both lines have. Of each RUN words the least
+   hash of GRAM words is an anchor, so alike lines share one, at places that differ by e at most, and their sizes differ by e at
+   most. Lines meet in cells of (anchor, size, place), where sizes and places are binned so that alike lines share a cell;
+   lines that merely contain the same passage mostly don't. Cells with the same lines count once. In a cell
+   each line is compared with the earliest, and those not removed by that with all others, in blocks: first by counts of
+   words in BUCKETS buckets, which differ by two at most for each edit, then on their words.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import drop, release, written
 from .hashing import as_long, bloom, in_bloom, mix, windows, words_and_lines
 
-MIN_WORDS, NEAR_WORDS = 5, 8
-#: Every line with a word counts; a third is the least part of a line that can hold its edit.
-WHOLE = {"min_words": 1, "near_words": 3, "edit_words": 16}
+MIN_WORDS, NEAR_WORDS, EDIT_WORDS = 1, 3, 16
+WHOLE = {"min_words": MIN_WORDS, "near_words": NEAR_WORDS, "edit_words": EDIT_WORDS}
 #: e edits in n >= e * edit_words words (e >= 2) leave a run of (n - e) / (e + 1) words or more: 10 at 16 words an edit.
 RUN, GRAM, BUCKETS, BLOCK = 10, 6, 64, 500
 _M = 0x9E3779B97F4A7C15
@@ -83,17 +88,25 @@ class Lines:
             self.keys[:, i + 1] = _hash(sums[s + a] - head, size, after_b)
             self.keys[:, i + 2] = _hash(after_a, size, np.full(len(m), 3, "uint64"))
 
-    def anchors(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row of number, anchor) of the lines of `least` words or more, each line's in order."""
-        grams = windows(self.words, GRAM)
-        if len(grams) <= RUN - GRAM:
-            return np.zeros(0, "int64"), grams[:0]
-        low = np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM + 1).min(1)
-        at = np.flatnonzero((self.size[: len(low)] >= least) & (self.place[: len(low)] + RUN <= self.size[: len(low)]))
-        row, low = np.searchsorted(self.first, at, side="right") - 1, mix(low[at])
+    def anchors(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of number, anchor, its place in the line) of the lines of `least` words or more, each line's in order."""
+        grams, none = windows(self.words, GRAM), np.zeros(0, "int64")
+        width = RUN - GRAM + 1
+        if len(grams) < width:
+            return none, grams[:0], none
+        n = len(grams) - width + 1
+        at = np.flatnonzero((self.size[:n] >= least) & (self.place[:n] + RUN <= self.size[:n]))
+        if not len(at):
+            return none, grams[:0], none
+        best, low = at.copy(), grams[at]
+        for i in range(1, width):
+            own = grams[at + i]
+            less = own < low
+            best[less], low[less] = at[less] + i, own[less]
+        row = np.searchsorted(self.first, at, side="right") - 1
         new = np.ones(len(at), bool)
-        new[1:] = (row[1:] != row[:-1]) | (low[1:] != low[:-1])
-        return row[new], low[new]
+        new[1:] = (row[1:] != row[:-1]) | (best[1:] != best[:-1])
+        return row[new], mix(low[new]), self.place[best[new]]
 
 
 #: Texts are worked through together, up to so many characters, to spare calls.
@@ -120,50 +133,110 @@ def _together(texts: list[str | None], min_words: int, near_words: int):
         lo = hi
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int) -> DataFrame:
-    """doc_id, line, h and keys k0 to k5 (null: a short line) of every line with min_words words or more."""
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int, edit_words: int) -> DataFrame:
+    """doc_id, line, h, n words and keys k0 to k5 (null: a short line) of every line with min_words words or more; anchors and places of long ones."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for _, own, at, line in _together(batch.column(1).to_pylist(), min_words, near_words):
-                columns = [batch.column(0).take(pa.array(at)), pa.array(line.astype("int32")), pa.array(as_long(own.h))]
+                row, anchor, place = own.anchors(2 * edit_words)
+                ends = pa.array(np.searchsorted(row, np.arange(len(own.number) + 1)).astype("int32"))
+                columns = [batch.column(0).take(pa.array(at)), pa.array(line.astype("int32")), pa.array(as_long(own.h)), pa.array(own.n.astype("int32"))]
                 columns += [pa.array(as_long(np.ascontiguousarray(own.keys[:, i])), mask=~own.near) for i in range(6)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "h", *KEYS])
+                columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (as_long(anchor), place.astype("int32"))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "h", "n", *KEYS, "anchors", "places"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc_id long, line int, h long, {', '.join(f'{k} long' for k in KEYS)}")
+    return rows.mapInArrow(run, f"doc_id long, line int, h long, n int, {', '.join(f'{k} long' for k in KEYS)}, anchors array<long>, places array<int>")
 
 
 KEYS = [f"k{i}" for i in range(6)]
 
 
-def _texts(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int) -> DataFrame:
-    """h, doc_id, line, words, open of the lines with a shared key, from one more pass over the texts.
+def _same_line(left: str, right: str):
+    return (F.col(f"{left}.h") == F.col(f"{right}.h")) & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.line") == F.col(f"{right}.line"))
 
-    open: which of the six keys. The shared keys come as a Bloom filter, so a few others pass too.
+
+def _with_shared(lines: DataFrame, keys: DataFrame, anchors: DataFrame) -> DataFrame:
+    """h, doc_id, line, n, open (which of the six keys are shared), anchors and places (shared ones) of lines that have any.
+
+    The shared keys and anchors come as Bloom filters, so a few others pass too.
     """
-    words, bits = bloom(shared, "key")
+    sent = [(lines.sparkSession.sparkContext.broadcast(words), bits) for words, bits in (bloom(keys, "key"), bloom(anchors, "key"))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        (key_words, key_bits), (anchor_words, anchor_bits) = ((x.value, bits) for x, bits in sent)
+        for batch in batches:
+            open_ = np.zeros(batch.num_rows, "int32")
+            for i, k in enumerate(KEYS):
+                own = batch.column(k)
+                ok = in_bloom(key_words, key_bits, own.fill_null(0).to_numpy().view("uint64")) & ~own.is_null().to_numpy(zero_copy_only=False)
+                open_ |= ok.astype("int32") << i
+            flat, place = batch.column("anchors").flatten().to_numpy(), batch.column("places").flatten().to_numpy()
+            size = np.asarray(batch.column("anchors").value_lengths().fill_null(0))
+            row = np.repeat(np.arange(batch.num_rows), size)
+            ok = in_bloom(anchor_words, anchor_bits, flat.view("uint64"))
+            row, flat, place = row[ok], flat[ok], place[ok]
+            hit = np.union1d(np.flatnonzero(open_), row)
+            if not len(hit):
+                continue
+            ends = pa.array(np.append(np.searchsorted(row, hit), len(row)).astype("int32"))
+            columns = [batch.column(c).take(pa.array(hit)) for c in ("h", "doc_id", "line", "n")] + [pa.array(open_[hit])]
+            columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, place)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "n", "open", "anchors", "places"])
+
+    return lines.mapInArrow(run, "h long, doc_id long, line int, n int, open int, anchors array<long>, places array<int>")
+
+
+def _place_hash(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(mix(doc_id.view("uint64") + _U(_M)) + line.astype("uint64") * _U(_M))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h, doc_id, line, words and counts of the wanted lines (h, doc_id, line), from a second pass that splits texts but hashes only what is wanted."""
+
+    def places(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(_place_hash(batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy())))], ["key"])
+
+    words, bits = bloom(wanted.select("doc_id", "line").mapInArrow(places, "key long"), "key")
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for joined, own, at, line in _together(batch.column(1).to_pylist(), min_words, near_words):
-                open_ = in_bloom(sent.value, bits, own.keys.ravel()).reshape(-1, 6) & own.near[:, None]
-                hit = np.flatnonzero(open_.any(1))
+            for lo in range(0, batch.num_rows, 200):
+                texts = batch.column(1).slice(lo, 200).to_pylist()
+                ids = batch.column(0).slice(lo, 200)
+                size = np.array([(t or "").count("\n") + 1 for t in texts])
+                line = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                at = np.repeat(np.arange(len(texts)), size)
+                hit = np.flatnonzero(in_bloom(sent.value, bits, _place_hash(ids.fill_null(0).to_numpy()[at], line)))
                 if not len(hit):
                     continue
-                lines = joined.split("\n")
-                texts = [b" ".join(lines[i].encode("utf-8", "surrogatepass").lower().split()) for i in own.number[hit].tolist()]
-                opens = (open_[hit] @ (1 << np.arange(6))).astype("int32")
-                columns = [pa.array(as_long(own.h[hit])), batch.column(0).take(pa.array(at[hit])), pa.array(line[hit].astype("int32")), pa.array(texts, pa.binary()), pa.array(opens)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "words", "open"])
+                at, line, last, found = at[hit], line[hit], -1, []
+                for a, i in zip(at.tolist(), line.tolist(), strict=True):
+                    if a != last:
+                        last, split = a, (texts[a] or "").split("\n")
+                    found.append(split[i])
+                own = Lines("\n".join(found), 1, 1)  # a line without words has no number there
+                body = [b" ".join(found[i].encode("utf-8", "surrogatepass").lower().split()) for i in own.number.tolist()]
+                bucket = (own.words & _U(BUCKETS - 1)).astype("int64") + np.repeat(np.arange(len(own.n)), own.n) * BUCKETS
+                counts = np.minimum(np.bincount(bucket, minlength=len(own.n) * BUCKETS), 255).astype("u1").tobytes()
+                at, line = at[own.number], line[own.number]
+                columns = [pa.array(as_long(own.h)), ids.take(pa.array(at)), pa.array(line.astype("int32")), pa.array(body, pa.binary())]
+                columns.append(pa.array([counts[i : i + BUCKETS] for i in range(0, len(counts), BUCKETS)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "words", "counts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "h long, doc_id long, line int, words binary, open int")
+    return rows.mapInArrow(run, "h long, doc_id long, line int, words binary, counts binary")
 
 
 def variants(words: bytes, open_: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,46 +290,6 @@ def within_edits(a: list[bytes], b: list[bytes], most: int) -> bool:
     return False
 
 
-def _long_lines(docs: DataFrame, edit_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """key, h of the shared anchors; h, doc_id, line, n, counts, words of the lines that may have one (rows of every repeat)."""
-    least = 2 * edit_words
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-
-    def keys(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for _, own, _, _ in _together(batch.column(1).to_pylist(), least, least):
-                row, key = own.anchors(least)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), pa.array(as_long(own.h[row]))], ["key", "h"])
-
-    # What a line shares only with its own repeats is of no use.
-    anchors = rows.mapInArrow(keys, "key long, h long").groupBy("key", "h").agg(F.lit(1).alias("one"))
-    shared = written(anchors.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"), "shared-anchors")
-    words, bits = bloom(shared, "key")
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-
-    def texts(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for joined, own, at, line in _together(batch.column(1).to_pylist(), least, least):
-                row, key = own.anchors(least)
-                ok = in_bloom(sent.value, bits, key)
-                row, key = row[ok], key[ok]
-                hit, start = np.unique(row, return_index=True)
-                if not len(hit):
-                    continue
-                lines = joined.split("\n")
-                found = [b" ".join(lines[i].encode("utf-8", "surrogatepass").lower().split()) for i in own.number[hit].tolist()]
-                counts = [np.minimum(np.bincount((own.words[s : s + n] & _U(BUCKETS - 1)).astype("int64"), minlength=BUCKETS), 255).astype("u1").tobytes() for s, n in zip(own.first[hit].tolist(), own.n[hit].tolist(), strict=True)]
-                columns = [pa.array(as_long(own.h[hit])), batch.column(0).take(pa.array(at[hit])), pa.array(line[hit].astype("int32")), pa.array(own.n[hit].astype("int32"))]
-                columns += [pa.array(counts, pa.binary()), pa.array(found, pa.binary()), pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype("int32")), pa.array(as_long(key)))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "n", "counts", "words", "keys"])
-
-    return shared, rows.mapInArrow(texts, "h long, doc_id long, line int, n int, counts binary, words binary, keys array<long>")
-
-
 def _blocks(rows: DataFrame, compare, schema: str) -> DataFrame:
     """compare(probes, targets) of each key's rows, side by side in blocks of BLOCK; no task has to take a whole key."""
     sizes = rows.groupBy("key").agg(F.sum(F.col("probe").cast("long")).alias("p"), F.sum((~F.col("probe")).cast("long")).alias("q")).filter("p > 0 and q > 0")
@@ -275,14 +308,31 @@ def _blocks(rows: DataFrame, compare, schema: str) -> DataFrame:
     return rows.drop("p", "q", "own", "to").groupBy("key", "i", "j").applyInPandas(run, schema)
 
 
-def _near_long(docs: DataFrame, first: DataFrame, near: DataFrame, edit_words: int, id_col: str, text_col: str) -> DataFrame:
-    """h of the long lines with an earlier line within one edit for each edit_words words, besides those in near."""
-    shared, rows = _long_lines(docs, edit_words, id_col, text_col)
-    same = (F.col("l.h") == F.col("r.h")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.line") == F.col("r.line"))
-    texts = written(rows.alias("l").join(first.alias("r"), same, "left_semi").dropDuplicates(["h"]), "long-texts")
+def cells(members: DataFrame, edit_words: int) -> DataFrame:
+    """key, h, doc_id, line, n of lines in the cells that alike lines share; members: anchor, place, h, doc_id, line, n.
+
+    Alike lines have sizes within (edit_words + 1) / edit_words of each other, so the same or neighbouring size bins of that
+    ratio; their anchor's places differ by the number of edits at most, so lie in the same or neighbouring bins of that width.
+    """
+    ratio = 1.001 * (edit_words + 1) / edit_words
+    band = F.floor(F.ln(F.col("n").cast("double")) / math.log(ratio))
+    rows = members.withColumn("band", F.explode(F.array(band, band + 1)))
+    width = F.floor(F.pow(F.lit(ratio), F.col("band") + 1) / edit_words) + 1
+    rows = rows.withColumn("at", F.floor(F.col("place") / width)).withColumn("at", F.explode(F.array(F.col("at"), F.col("at") + 1)))
+    rows = rows.select(F.xxhash64("anchor", "band", "at").alias("key"), "h", "doc_id", "line", "n")
+    rows = rows.groupBy("key", "h").agg(F.min(F.struct("doc_id", "line", "n")).alias("x")).select("key", "h", "x.*")
+    # Of cells with the same lines one is enough; one line alone is none.
+    sets = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("h")).alias("a"), F.sum(F.xxhash64("h", F.lit(7)).cast("decimal(38,0)")).alias("b")).filter("c > 1")
+    keep = sets.groupBy("c", "a", "b").agg(F.min("key").alias("key")).select("key")
+    return rows.join(keep, "key")
+
+
+def _near_long(texts: DataFrame, shared: DataFrame, near: DataFrame, edit_words: int) -> DataFrame:
+    """h of the long lines with an earlier line within one edit for each edit_words words, besides those in near. texts: first occurrences."""
     at = F.struct("doc_id", "line", "h")
-    members = texts.select("h", "doc_id", "line", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    members = written(members.join(shared, "key"), "anchored")
+    members = texts.select("h", "doc_id", "line", "n", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("places").alias("place"))).alias("x"))
+    members = members.select("h", "doc_id", "line", "n", F.col("x.anchor").alias("anchor"), F.col("x.place").alias("place")).join(shared.withColumnRenamed("key", "anchor"), "anchor")
+    members = written(cells(members, edit_words), "anchored")
     least = members.groupBy("key").agg(F.min(at).alias("least"), F.count("*").alias("all"))
     todo = members.join(near, "h", "left_anti")
     found = todo.join(least, "key").filter(at > F.col("least")).select("h", F.col("least.h").alias("other")).distinct()
@@ -345,17 +395,24 @@ def _near_long(docs: DataFrame, first: DataFrame, near: DataFrame, edit_words: i
     return written(one.unionByName(_blocks(both, confirmed, "h long")).distinct(), "near-long")
 
 
-def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int = EDIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line of every line to remove."""
-    lines = written(line_table(docs, id_col, text_col, min_words, near_words), "lines")
+    lines = written(line_table(docs, id_col, text_col, min_words, near_words, edit_words), "lines")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
-    first = written(first.select("h", "n", "at.doc_id", "at.line"), "first-lines")
-    keyed = lines.filter("k0 is not null").select("h", F.explode(F.array(*KEYS)).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"), "shared")
+    first = written(first.select("h", F.col("n").alias("copies"), "at.doc_id", "at.line"), "first-lines")
+
+    def of_several(column, name):
+        keyed = lines.select("h", F.explode(column).alias("key")).filter("key is not null")
+        return written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"), name)
+
+    shared, anchors = of_several(F.array(*KEYS), "shared"), of_several(F.col("anchors"), "shared-anchors")
     release(docs.sparkSession)
-    texts = _texts(docs, shared, id_col, text_col, min_words, near_words).alias("l")
-    same = (F.col("l.h") == F.col("r.h")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.line") == F.col("r.line"))
-    texts = written(texts.join(first.alias("r"), same, "left_semi").dropDuplicates(["h"]), "texts")
+    some = _with_shared(lines, shared, anchors).alias("l").join(first.alias("r"), _same_line("l", "r"), "left_semi")
+    wanted = written(some.dropDuplicates(["h"]), "wanted")
+    body = _texts(docs, wanted, id_col, text_col).alias("l").join(wanted.alias("r"), _same_line("l", "r")).select("r.*", "l.words", "l.counts")
+    texts = written(body.dropDuplicates(["h"]), "texts")
+    drop(wanted)
+    drop(shared)
 
     def emit(batches):
         import pyarrow as pa
@@ -368,10 +425,11 @@ def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int =
                 columns = [pa.array(np.concatenate([k for k, _ in own])), pa.array(np.concatenate([r for _, r in own]))]
                 yield pa.RecordBatch.from_arrays([*columns, *(part.column(c).take(at) for c in ("h", "doc_id", "line"))], ["key", "role", "h", "doc_id", "line"])
 
-    rows = written(texts.select("words", "open", "h", "doc_id", "line").mapInArrow(emit, "key long, role int, h long, doc_id long, line int"), "variants")
+    rows = written(texts.filter("open <> 0").select("words", "open", "h", "doc_id", "line").mapInArrow(emit, "key long, role int, h long, doc_id long, line int"), "variants")
     # Of a variant's lines the earliest counts; a variant of one line alone is of no use.
     several = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    rows = written(rows.join(several, "key"), "shared-variants")
+    both, rows = rows, written(rows.join(several, "key"), "shared-variants")
+    drop(both)
     at = F.struct("doc_id", "line", "h")
     least = rows.groupBy("key", "role").agg(F.min(at).alias("least"))
     # A replaced word meets its like; a whole line meets lines that are it plus a word, and the other way round.
@@ -386,27 +444,41 @@ def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int =
             yield batch.loc[ok, ["h"]]
 
     near = written(pairs.select("h", "words", "words2").mapInPandas(verify, "h long").distinct().withColumn("near", F.lit(True)), "near-lines")
-    if edit_words:
-        near = near.unionByName(_near_long(docs, first, near, edit_words, id_col, text_col).withColumn("near", F.lit(True)))
-    changed = first.join(near, "h", "left").filter("n > 1 or near").select("h", F.struct("doc_id", "line").alias("first"), "near")
+    near = near.unionByName(_near_long(texts.filter(F.size("anchors") > 0), anchors, near, edit_words).withColumn("near", F.lit(True)))
+    changed = first.join(near, "h", "left").filter("copies > 1 or near").select("h", F.struct("doc_id", "line").alias("first"), "near")
     again = ~F.struct(F.col("doc_id"), F.col("line")).eqNullSafe(F.col("first"))
     return lines.select("h", "doc_id", "line").join(changed, "h").filter(F.col("near").isNotNull() | again).select("doc_id", "line")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int = EDIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removable lines taken out of the text, and n_lines and n_removed.
 
     Null text stays null (no lines). A text that loses all its lines becomes empty. Rows that share an id count as one
     document, so a line they share at the same place stays in both. Other columns stay as they are.
     """
     gone = removable(docs, min_words=min_words, near_words=near_words, edit_words=edit_words, id_col=id_col, text_col=text_col)
-    gone = written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id"), "gone-lines")
+
+    def masks(batches):  # a byte for each line, so that asking for one takes no search
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for lines in batch.column(1).to_pylist():
+                mask = np.zeros(max(lines) + 1, "u1")
+                mask[lines] = 1
+                out.append(mask.tobytes())
+            sizes = pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), sizes], ["__id", "__gone", "__n"])
+
+    # At most as many numbers as the longest document has lines.
+    gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")).mapInArrow(masks, "__id long, __gone binary, __n long")
+    gone = written(gone, "gone-lines")
     release(docs.sparkSession)
     # Always a shuffled join: the list of lines grows with the input, and small inputs shall take the same way.
     joined = docs.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: F.substr("__gone", i + 1, F.lit(1)) != F.lit(b"\x01")), "\n")
     return joined.select(
         *[F.when(F.col("__gone").isNull(), docs[c]).otherwise(left).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__n", F.lit(0).cast("long")).alias("n_removed"),
     )

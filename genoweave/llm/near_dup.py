@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_text, drop, written
 from .hashing import as_long, bloom, id_hash, in_bloom, mix, shingle_set
 
 SYMBOLS, CHUNKS = 60, 12
@@ -57,24 +57,13 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
 def sets_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set; null if empty), sig of every row."""
 
-    def run(batches):
-        import pandas as pd
-        import xxhash
+    import xxhash
 
-        for batch in batches:
-            ids = batch["k"].astype("Int64")
-            rows = []
-            for text in batch["t"].tolist():
-                s = shingle_set(text, shingle)
-                if len(s):
-                    rows.append((len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), signature(s).tobytes()))
-                else:
-                    rows.append((0, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "node", "sig"])
-            yield pd.DataFrame({"doc_id": ids.reset_index(drop=True), "n_shingles": out["n_shingles"], "node": pd.array([None if r[1] is None else r[1] for r in rows], "Int64"), "sig": out["sig"]})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, node long, sig binary")
+    def one(text: str) -> tuple:
+        s = shingle_set(text, shingle)
+        return (len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), signature(s).tobytes()) if len(s) else (0, None, None)
+
+    return by_text(docs, one, [("n_shingles", "long"), ("node", "long"), ("sig", "binary")], id_col, text_col)
 
 
 def _keys(nodes: DataFrame) -> DataFrame:

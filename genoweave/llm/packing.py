@@ -30,23 +30,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, *, id_
     def cut(batches):
         import zlib
 
-        import pandas as pd
+        import pyarrow as pa
 
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
-            keys = [None if n else int(k) for k, n in zip(batch["k"].tolist(), batch["k"].isna().tolist(), strict=True)]
-            rows = []
-            for k, ids in zip(keys, enc.encode(batch["t"].tolist()), strict=True):
+            at, rows = [], []
+            for nth, ids in enumerate(enc.encode(batch.column(1).to_pylist())):
                 ids = widened(ids, enc.width) + end
                 total = len(ids) // 4
-                for at in range(0, total, length):
-                    own = ids[4 * at : 4 * (at + length)]
+                for start in range(0, total, length):
+                    own = ids[4 * start : 4 * (start + length)]
                     units = parts if len(own) < 4 * length else parts[:1]
-                    rows.append((k, at, len(own) // 4, [[zlib.crc32(own[i : i + u]) for i in range(0, len(own), u)] for u in (4 * length // p for p in units)], total))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "crcs", "doc_tokens"]).astype({"doc_id": "Int64"})
+                    at.append(nth)
+                    rows.append((start, len(own) // 4, [[zlib.crc32(own[i : i + u]) for i in range(0, len(own), u)] for u in (4 * length // p for p in units)], total))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.int64())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["doc_id", "start", "length", "crcs", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(cut, "doc_id long, start long, length long, crcs array<array<long>>, doc_tokens long")
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, crcs array<array<long>>, doc_tokens long")
 
 
 def choose_cut(counts: dict[int, int], length: int) -> tuple[int, list[tuple[list[int], int]]]:
@@ -145,24 +147,28 @@ def pack(cuts: DataFrame, length: int) -> DataFrame:
 
     def assign(batches):
         import numpy as np
+        import pyarrow as pa
 
         table = {}
         for size, rows in placed.items():
             most = max(r[1] for r in rows)
             table[size] = (*(np.array([r[i] for r in rows], "int64") for i in range(3)), np.array([r[4] + [0] * (most - r[1]) for r in rows], "int64"))
         for batch in batches:
-            sequence, offset = np.zeros(len(batch), "int64"), np.zeros(len(batch), "int64")
-            sizes, ranks = batch["length"].to_numpy(), batch["__rank"].to_numpy()
+            n = batch.num_rows
+            sequence, offset = np.zeros(n, "int64"), np.zeros(n, "int64")
+            sizes, ranks = batch.column("length").to_numpy(), batch.column("__rank").to_numpy()
             order = np.argsort(sizes, kind="stable")
             cuts = np.flatnonzero(np.diff(sizes[order])) + 1
-            for at in np.split(order, cuts) if len(order) else []:
+            for at in np.split(order, cuts) if n else []:
                 first_rank, each, first_seq, offsets = table[int(sizes[at[0]])]
                 row = np.searchsorted(first_rank, ranks[at], side="right") - 1
-                n, slot = np.divmod(ranks[at] - first_rank[row], each[row])
-                sequence[at], offset[at] = first_seq[row] + n, offsets[row, slot]
-            yield batch.drop(columns="__rank").assign(sequence_id=sequence, offset=offset)
+                nth, slot = np.divmod(ranks[at] - first_rank[row], each[row])
+                sequence[at], offset[at] = first_seq[row] + nth, offsets[row, slot]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInPandas(assign, PIECES + ", sequence_id long, offset long")
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "__rank")
+    return ranked.mapInArrow(assign, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, **columns: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Words and pairs of neighbouring words are hashed into 2^16 features. Two multinomials over the features are
-counted, one over the trusted documents and one over the whole corpus, with additive smoothing. A document's
+counted, one over the trusted documents and one over the whole corpus, both smoothed by PRIOR counts dealt out as the corpus
+has them. A document's
 score is the mean over its n-grams of log p(target) - log p(corpus); so it doesn't grow with length. A
 document is kept if its score reaches a fixed threshold: no sampling, so reruns agree.
 
@@ -18,11 +19,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, by_text
 
 FEATURES = 1 << 16
-SMOOTHING = 1.0
+#: Counts that the corpus's own shares add to both multinomials.
+PRIOR = 1000.0
 WINDOW = 8
+#: Longer words aren't remembered.
+LONG = 64
 #: Mean log-likelihood ratio an n-gram from which a document is kept.
 THRESHOLD = -0.15
 SYMBOLS = "#*$%&|<>"
@@ -36,11 +40,11 @@ def _shape(word: str) -> str:
     """What a word looks like: abc, Abc and ABC become a, A and AA; digits 0; a repeat of the whole word isn't seen here."""
     if word.isalpha():
         return ("a" if word.islower() else "A" if word[1:].islower() or len(word) == 1 else "B" if word.isupper() else "C") + str(min(12, len(word)) // 3)
-    return re.sub(r"\d+", "0", _letters.sub(lambda m: "a" if m[0].islower() else "A" if m[0][1:].islower() or len(m[0]) == 1 else "B" if m[0].isupper() else "C", word))[:24]
+    return re.sub(r"\d+", "0", _letters.sub(lambda m: "a" if m[0].islower() else "A" if m[0][1:].islower() or len(m[0]) == 1 else "B" if m[0].isupper() else "C", word))
 
 
 class Features:
-    """Hashes of words and of their shapes, remembered up to `most` words."""
+    """Hashes of words and of their shapes, remembered for up to `most` words of no more than LONG characters; so memory is bounded in bytes."""
 
     def __init__(self, most: int = 400_000):
         self.most, self.known = most, {}
@@ -54,10 +58,9 @@ class Features:
         except KeyError:
             if len(known) > self.most:
                 known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = (xxhash.xxh3_64_intdigest(w), xxhash.xxh3_64_intdigest(_shape(w)))
-            pairs = [known[w] for w in words]
+            new = {w: (xxhash.xxh3_64_intdigest(w), xxhash.xxh3_64_intdigest(_shape(w))) for w in set(words) if w not in known}
+            pairs = [known.get(w) or new[w] for w in words]
+            known.update((w, x) for w, x in new.items() if len(w) <= LONG)
         both = np.array(pairs, "uint64").reshape(-1, 2)
         return both[:, 0], both[:, 1]
 
@@ -98,11 +101,6 @@ def base_figures(text: str, words: list[str], h: np.ndarray) -> tuple[int, int,
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(h)
 
 
-def _frame_rows(batch):
-    ids = [None if n else int(k) for k, n in zip(batch["k"].tolist(), batch["k"].isna().tolist(), strict=True)]
-    return ids, [t or "" for t in batch["t"].tolist()]
-
-
 def count_features(docs: DataFrame, trusted: Column, *, text_col: str = "text") -> DataFrame:
     """feature, target, corpus: n-gram counts over the trusted rows and over all. At most FEATURES rows.
 
@@ -135,7 +133,7 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
         both[:, r.feature] = r.target, r.corpus
     if not both[0].sum():
         return np.zeros(FEATURES)
-    smooth = both + SMOOTHING * np.maximum(both[1:], 0.1) / max(1.0, both[1].sum()) * 1000
+    smooth = both + PRIOR * np.maximum(both[1:], 0.1) / max(1.0, both[1].sum())
     p = smooth / smooth.sum(1, keepdims=True)
     return np.log(p[0]) - np.log(p[1])
 
@@ -146,28 +144,20 @@ def score(docs: DataFrame, ratios: np.ndarray, *, threshold: float = THRESHOLD,
     Null or empty text: no words, base_failed, score 0. Repeated rows are each scored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratios.astype("float32"))  # FEATURES numbers
+    seen = Features()
 
-    def run(batches):
-        import pandas as pd
+    def one(text: str) -> tuple:
+        words = _word(text)
+        h, shapes = seen.hashes(words)
+        base = base_figures(text, words, h)
+        llr = float(shared.value[features(shapes)].mean()) if words else 0.0
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        return *base, failed, llr, not failed and llr >= threshold
 
-        seen, table = Features(), shared.value
-        for batch in batches:
-            ids, texts = _frame_rows(batch)
-            out = []
-            for k, text in zip(ids, texts, strict=True):
-                words = _word(text)
-                h, shapes = seen.hashes(words)
-                base = base_figures(text, words, h)
-                llr = float(table[features(shapes)].mean()) if words else 0.0
-                failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
-                out.append((k, *base, failed, llr, not failed and llr >= threshold))
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
-
-
-COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    return by_text(docs, one, COLUMNS, id_col, text_col)
+
+
+COLUMNS = [(c, "long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", "boolean"), ("score", "double"), ("kept", "boolean")]
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -208,10 +208,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str =
         last, copy = object(), 0
         end = end_id.to_bytes(width, "little")
         for batch in batches:
-            keys = batch["k"].tolist()
-            nulls = batch["k"].isna().tolist()
-            for k, null, ids in zip(keys, nulls, enc.encode(batch["t"].tolist()), strict=True):
-                k = None if null else int(k)
+            for k, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     out = store.open_output_stream(part)
                     writer = Writer(out, width)
@@ -222,11 +219,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str =
             writer.close()
             out.close()
             store.move(part, path)
-            import pandas as pd
+            import pyarrow as pa
 
-            yield pd.DataFrame({"shard": [shard], "path": [f"shard-{shard:06d}.sst"], "n_docs": [writer.n_keys], "n_ids": [writer.n_ids]})
+            columns = [pa.array([shard], pa.int32()), pa.array([f"shard-{shard:06d}.sst"]), pa.array([writer.n_keys], pa.int64()), pa.array([writer.n_ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "path", "n_docs", "n_ids"])
 
-    done = rows.mapInPandas(write, "shard int, path string, n_docs long, n_ids long")
+    done = rows.mapInArrow(write, "shard int, path string, n_docs long, n_ids long")
     return written(done.withColumn("folder", F.lit(base)), "manifest")
 
 
@@ -244,10 +242,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     def read(batches):
         import numpy as np
-        import pandas as pd
 
         for batch in batches:
-            for folder, path, start in zip(batch["folder"], batch["path"], batch["before"], strict=True):
+            for folder, path, start in zip(*(batch.column(c).to_pylist() for c in ("folder", "path", "before")), strict=True):
                 store, root = open_store(folder)
                 with store.open_input_file(f"{root}/{path}") as f:
                     shard, rows, at = Reader(f), [], int(start)
@@ -256,17 +253,18 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         rows.append((key_id(key), at, len(ids), zlib.crc32(ids.tobytes())))
                         at += len(ids)
                         if len(rows) == 20_000:
-                            yield _frame(pd, rows)
+                            yield _batch(rows)
                             rows = []
                     if rows:
-                        yield _frame(pd, rows)
+                        yield _batch(rows)
 
-    return placed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _frame(pd, rows: list[tuple]):
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return out.astype({"doc_id": "Int64"})
+def _batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def look_up(manifest: DataFrame, doc_id: int) -> list[int] | None:

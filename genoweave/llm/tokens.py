@@ -22,6 +22,10 @@ SPLIT = rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^{SPACE}{LETTER
 OTHER = r"[^\t\n\r\x20-\x7E¡-ɏΑ-ΡΣ-ώА-я–-—‘-„…]"
 
 
+#: Longer pre-tokens aren't remembered.
+LONG = 64
+
+
 def packed(ids: Iterable[int], width: int = 4) -> bytes:
     """Little-endian unsigned integers of that many bytes."""
     out = array("I" if width == 4 else "H", ids)
@@ -41,7 +45,8 @@ class Encoder:
     Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in a row; each
     new pre-token goes through the library once and is then remembered. Any text with a character outside
     the agreed set, with the content of an added token, or for another kind of tokenizer, goes through the
-    library whole. At `most` entries the older half of the cache is dropped, so memory is bounded.
+    library whole. At `most` entries the older half of the cache is dropped and pre-tokens of over LONG
+    characters aren't kept, so memory is bounded.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -84,9 +89,13 @@ class Encoder:
                 for p in list(islice(cache, self.most // 2)):
                     del cache[p]
             new = [p for p in set(parts) if p not in cache]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[p] = packed(e.ids, self.width)
-            yield b"".join(ids_of(cache))
+            own = {p: packed(e.ids, self.width) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            if max(map(len, own)) <= LONG:
+                cache.update(own)
+                yield b"".join(ids_of(cache))
+            else:  # long ones aren't remembered, so the cache is bounded in bytes
+                cache.update((p, x) for p, x in own.items() if len(p) <= LONG)
+                yield b"".join([cache.get(p) or own[p] for p in parts])
 
 
 _encoders: dict[str, Encoder] = {}

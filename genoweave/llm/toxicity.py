@@ -9,8 +9,8 @@ exception phrase doesn't count. The sum of weights, as such and for each hundred
 from __future__ import annotations
 
 import math
-import pickle
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, sample_ids
+from .common import WORD, by_text, in_one_task, sample_texts
 
 # Letters that look like Latin ones, and signs that stand for letters inside words.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛԝвкмнтґαεορτυνικχηωßł", "aeopcyxijsdhqwbkmhtraeoptuvikxnwbl", strict=True))
@@ -38,17 +38,27 @@ SHORTEST, LONGEST = 4, 10
 
 _glyphs = str.maketrans(HOMOGLYPHS)
 _signs = str.maketrans(SUBSTITUTES)
-_mixed = re.compile(r"\w*[0-9@$!][\w@$!]*[^\W\d_][\w@$!]*|[^\W\d_][\w@$!]*[0-9@$!]\w[\w@$!]*")
+_run = re.compile(r"[\w@$!]+")
+_sign = re.compile(r"[0-9@$!]")
 _words = re.compile(r"[^\W_]+").findall
 _count = re.compile(WORD).findall
 
 
+def _letters_for_signs(m: re.Match) -> str:
+    """A run of word characters and signs with its substitutions undone, if it has a letter; signs at its end stay."""
+    run = m[0]
+    body = run.rstrip("@$!")
+    if not any(c.isalpha() for c in body) or not _sign.search(body):
+        return run
+    return body.translate(_signs) + run[len(body) :]
+
+
 def fold(text: str) -> str:
-    """Lower case, Latin look-alikes and substituted letters; a word's length stays the same for nearly all texts."""
+    """Lower case, Latin look-alikes and substituted letters, in one pass; a word's length stays the same for nearly all texts."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_glyphs)
-    return _mixed.sub(lambda m: m[0].translate(_signs) if any(c.isalpha() for c in m[0]) else m[0], text)
+    return _run.sub(_letters_for_signs, text) if _sign.search(text) else text
 
 
 @dataclass
@@ -86,7 +96,15 @@ class Lexicon:
                 continue
             (spared if w is None else hits).append((first, last, w))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+            # Exception phrases in order of their beginnings, each kept only if it ends later than all before; so
+            # of those that begin at or before a hit the last one kept reaches furthest.
+            starts, ends = [], []
+            for a, z, _ in sorted(spared):
+                if not ends or z > ends[-1]:
+                    starts.append(a)
+                    ends.append(z)
+            at = [bisect_right(starts, h[0]) - 1 for h in hits]
+            hits = [h for h, i in zip(hits, at, strict=True) if i < 0 or ends[i] < h[1]]
         best: dict[int, float] = {}  # of entries that begin at one place the heaviest counts
         for first, _, w in hits:
             best[first] = max(w, best.get(first, 0.0))
@@ -176,32 +194,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 
 
 def train(docs: DataFrame, labelled: DataFrame, *, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """Learns from at most `rows` labelled rows, half of them toxic if there are as many; the bound makes them fit the driver."""
-    known = labelled.filter(F.col(label_col).isNotNull())
-    halves = [sample_ids(known.filter(F.col(label_col) == y), rows // 2, id_col).withColumn("y", F.lit(y)) for y in (0, 1)]
-    ids = halves[0].unionByName(halves[1]).withColumnRenamed("doc_id", "__id")
-    found = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("t", "y")
-
-    def fit(batches):  # in one task over the bounded sample, so neither its texts nor the work are the driver's
-        texts, marks = [], []
-        for batch in batches:
-            texts += batch["t"].tolist()
-            marks += batch["y"].tolist()
-        yield pd.DataFrame({"model": [pickle.dumps(learn(texts, marks))]})
-
-    model = found.repartition(1).mapInPandas(fit, "model binary").first()
-    return pickle.loads(bytes(model["model"])) if model else learn([], [])
+    """Learns from at most `rows` labelled rows, half of them toxic if there are as many, in one executor task that the bound makes fit."""
+    return in_one_task(sample_texts(docs, labelled, label_col, rows, id_col, text_col), learn, lambda: learn([], []))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every whole text. Null and empty texts match nothing and get the lowest score."""
-
-    def run(batches):
-        for batch in batches:
-            ids = [None if n else int(k) for k, n in zip(batch["k"].tolist(), batch["k"].isna().tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "score": [lexicon.score(t or "") for t in batch["t"].tolist()]})
-
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, score double")
+    return by_text(docs, lambda t: (lexicon.score(t),), [("score", "double")], id_col, text_col)
 
 
 def score_column(lexicon: Lexicon, text_col: str = "text") -> Column:

@@ -288,17 +288,34 @@ def test_targets_and_thresholds(spark):
         assert abs(sum(r["taken"] for r in own) - share[s]) <= 30
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def alike_lines(a, b, near_words=3, edit_words=16):
+    """Equal, or from three words on within one word edit, or one for each 16 words of the shorter line."""
+    if a == b:
+        return True
+    n = min(len(a), len(b))
+    most = max(1, n // edit_words)
+    return n >= near_words and abs(len(a) - len(b)) <= most and len(set(a) ^ set(b)) <= 2 * most and distance(a, b) <= most
+
+
 def brute_lines(texts):
     seen, out = [], []
     for t in texts:
         keep = []
         for line in (t or "").split("\n"):
             w = line.encode().lower().split()
-            gone = len(w) >= 5 and any(w == o or (min(len(w), len(o)) >= 8 and line_dedup.within_one_edit(w, o)) for o in seen)
-            if len(w) >= 5:
-                seen.append(w)
-            if not gone:
+            if not (w and any(alike_lines(w, o) for o in seen)):
                 keep.append(line)
+            if w and w not in seen:
+                seen.append(w)
         out.append("\n".join(keep))
     return out
 
