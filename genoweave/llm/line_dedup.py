@@ -36,7 +36,7 @@ from .hashing import as_long, bloom, in_bloom, mix, windows, words_and_lines
 MIN_WORDS, NEAR_WORDS, EDIT_WORDS = 1, 3, 16
 WHOLE = {"min_words": MIN_WORDS, "near_words": NEAR_WORDS, "edit_words": EDIT_WORDS}
 #: e edits in n >= e * edit_words words (e >= 2) leave a run of (n - e) / (e + 1) words or more: 10 at 16 words an edit.
-RUN, GRAM, BUCKETS, BLOCK = 10, 6, 64, 500
+RUN, GRAM, BUCKETS, BLOCK, SPAN = 10, 6, 64, 500, 4
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
 _U = np.uint64
@@ -311,20 +311,22 @@ def _blocks(rows: DataFrame, compare, schema: str) -> DataFrame:
 def cells(members: DataFrame, edit_words: int) -> DataFrame:
     """key, h, doc_id, line, n of lines in the cells that alike lines share; members: anchor, place, h, doc_id, line, n.
 
-    Alike lines have sizes within (edit_words + 1) / edit_words of each other, so the same or neighbouring size bins of that
-    ratio; their anchor's places differ by the number of edits at most, so lie in the same or neighbouring bins of that width.
+    Alike lines have sizes within (edit_words + 1) / edit_words of each other, and their anchor's places differ by the number
+    of edits at most. Sizes are binned by powers of two and places by SPAN times the most edits of the size bin; what lies so
+    near its bin's upper border that an alike line may be in the next one goes to both.
     """
-    ratio = 1.001 * (edit_words + 1) / edit_words
-    band = F.floor(F.ln(F.col("n").cast("double")) / math.log(ratio))
-    rows = members.withColumn("band", F.explode(F.array(band, band + 1)))
-    width = F.floor(F.pow(F.lit(ratio), F.col("band") + 1) / edit_words) + 1
-    rows = rows.withColumn("at", F.floor(F.col("place") / width)).withColumn("at", F.explode(F.array(F.col("at"), F.col("at") + 1)))
-    rows = rows.select(F.xxhash64("anchor", "band", "at").alias("key"), "h", "doc_id", "line", "n")
-    rows = rows.groupBy("key", "h").agg(F.min(F.struct("doc_id", "line", "n")).alias("x")).select("key", "h", "x.*")
-    # Of cells with the same lines one is enough; one line alone is none.
-    sets = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("h")).alias("a"), F.sum(F.xxhash64("h", F.lit(7)).cast("decimal(38,0)")).alias("b")).filter("c > 1")
-    keep = sets.groupBy("c", "a", "b").agg(F.min("key").alias("key")).select("key")
-    return rows.join(keep, "key")
+    n, place, one = F.col("n").cast("double"), F.col("place"), F.lit(1).cast("long")
+    band = F.floor(F.log2(n))
+    ends = F.when(n * (edit_words + 1) / edit_words >= F.pow(F.lit(2.0), band + 1), band + 1).otherwise(band)
+    rows = members.withColumn("band", F.explode(F.sequence(band, ends)))
+    most = F.floor(F.pow(F.lit(2.0), F.col("band") + 1) / edit_words) + 1  # edits of the lines in this bin
+    at, rest = F.floor(place / (most * SPAN)), F.pmod(place, most * SPAN)
+    last = F.when(rest + most >= most * SPAN, at + one).otherwise(at)
+    rows = rows.withColumn("at", F.explode(F.sequence(at, last))).select(F.xxhash64("anchor", "band", "at").alias("key"), "h", "doc_id", "line", "n")
+    # Of cells with the same lines one is enough; one line alone is none. A line that has an anchor twice in a cell counts twice: no harm.
+    sets = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.count("*").alias("c"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("s"))
+    keep = sets.filter("least <> most").groupBy("c", "least", "most", "s").agg(F.min("key").alias("key")).select("key")
+    return rows.join(keep, "key").dropDuplicates(["key", "h"])
 
 
 def _near_long(texts: DataFrame, shared: DataFrame, near: DataFrame, edit_words: int) -> DataFrame:
@@ -333,6 +335,7 @@ def _near_long(texts: DataFrame, shared: DataFrame, near: DataFrame, edit_words:
     members = texts.select("h", "doc_id", "line", "n", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("places").alias("place"))).alias("x"))
     members = members.select("h", "doc_id", "line", "n", F.col("x.anchor").alias("anchor"), F.col("x.place").alias("place")).join(shared.withColumnRenamed("key", "anchor"), "anchor")
     members = written(cells(members, edit_words), "anchored")
+    release(texts.sparkSession)
     least = members.groupBy("key").agg(F.min(at).alias("least"), F.count("*").alias("all"))
     todo = members.join(near, "h", "left_anti")
     found = todo.join(least, "key").filter(at > F.col("least")).select("h", F.col("least.h").alias("other")).distinct()
@@ -413,6 +416,10 @@ def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int =
     texts = written(body.dropDuplicates(["h"]), "texts")
     drop(wanted)
     drop(shared)
+    # From here on only the lines' places are needed, not their keys.
+    whole, lines = lines, written(lines.select("h", "doc_id", "line"), "line-places")
+    drop(whole)
+    release(docs.sparkSession)
 
     def emit(batches):
         import pyarrow as pa
@@ -430,6 +437,7 @@ def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int =
     several = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     both, rows = rows, written(rows.join(several, "key"), "shared-variants")
     drop(both)
+    release(docs.sparkSession)
     at = F.struct("doc_id", "line", "h")
     least = rows.groupBy("key", "role").agg(F.min(at).alias("least"))
     # A replaced word meets its like; a whole line meets lines that are it plus a word, and the other way round.
@@ -444,6 +452,8 @@ def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int =
             yield batch.loc[ok, ["h"]]
 
     near = written(pairs.select("h", "words", "words2").mapInPandas(verify, "h long").distinct().withColumn("near", F.lit(True)), "near-lines")
+    drop(rows)
+    release(docs.sparkSession)
     near = near.unionByName(_near_long(texts.filter(F.size("anchors") > 0), anchors, near, edit_words).withColumn("near", F.lit(True)))
     changed = first.join(near, "h", "left").filter("copies > 1 or near").select("h", F.struct("doc_id", "line").alias("first"), "near")
     again = ~F.struct(F.col("doc_id"), F.col("line")).eqNullSafe(F.col("first"))
