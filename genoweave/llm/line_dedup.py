@@ -290,22 +290,55 @@ def within_edits(a: list[bytes], b: list[bytes], most: int) -> bool:
     return False
 
 
-def _blocks(rows: DataFrame, compare, schema: str) -> DataFrame:
-    """compare(probes, targets) of each key's rows, side by side in blocks of BLOCK; no task has to take a whole key."""
+def _blocks(rows: DataFrame, compare, fields: list[tuple[str, str]]) -> DataFrame:
+    """compare(block, probes, targets) of each key's rows, side by side in blocks of BLOCK; no task has to take a whole key.
+
+    Blocks lie one after another in sorted partitions and are read as a stream, for most keys have a few rows only and a call each
+    would cost more than their work. block: numpy columns of many blocks; probes and targets: row numbers.
+    """
     sizes = rows.groupBy("key").agg(F.sum(F.col("probe").cast("long")).alias("p"), F.sum((~F.col("probe")).cast("long")).alias("q")).filter("p > 0 and q > 0")
     rows = rows.join(sizes, "key")
     left, right = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("p", "q"))
     own = F.when(F.col("probe"), F.pmod(F.xxhash64("h"), left)).otherwise(F.pmod(F.xxhash64("h"), right)).cast("int")
     rows = rows.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.when(F.col("probe"), right).otherwise(left) - 1)))
     rows = rows.withColumn("i", F.when(F.col("probe"), F.col("own")).otherwise(F.col("to"))).withColumn("j", F.when(F.col("probe"), F.col("to")).otherwise(F.col("own")))
+    place = ["key", "i", "j"]
+    rows = rows.drop("p", "q", "own", "to").repartition(*place).sortWithinPartitions(*place)
+
+    def work(batch, cuts):
+        import pyarrow as pa
+
+        block = {c: batch.column(c).to_pylist() if batch.schema.field(c).type == pa.binary() else batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if "counts" in block:
+            block["counts"] = np.frombuffer(b"".join(block["counts"]), "u1").reshape(-1, BUCKETS).astype("int16")
+        probe, out = block["probe"], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = probe[lo:hi]
+            if own.any() and not own.all():
+                out += compare(block, lo + np.flatnonzero(own), lo + np.flatnonzero(~own))
+        kinds = {"long": pa.int64(), "boolean": pa.bool_()}
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[k]) for i, (_, k) in enumerate(fields)], [c for c, _ in fields])
 
-    def run(pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        probes, targets = (pdf[pdf["probe"] == x].sort_values(["doc_id", "line"]) for x in (True, False))
-        return pd.DataFrame(compare(probes, targets), columns=[c.split()[0] for c in schema.split(", ")])
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            at = [batch.column(c).to_numpy() for c in place]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+            if len(cuts):  # the last block may go on in the next batch
+                yield work(batch.slice(0, int(cuts[-1])), [0, *cuts.tolist()])
+                rest = batch.slice(int(cuts[-1]))
+            else:
+                rest = batch
+        if rest is not None:
+            yield work(rest, [0, rest.num_rows])
 
-    return rows.drop("p", "q", "own", "to").groupBy("key", "i", "j").applyInPandas(run, schema)
+    return rows.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in fields))
 
 
 def cells(members: DataFrame, edit_words: int) -> DataFrame:
@@ -366,36 +399,35 @@ def _near_long(texts: DataFrame, shared: DataFrame, near: DataFrame, edit_words:
     order = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
     both = both.select("key", "probe", "h", order, "line").join(texts.select("h", "n", "counts"), "h")
 
-    def candidates(a, b):
+    def near_pairs(block, p, t):
+        """Which targets of each probe are earlier lines with sizes and counts within the bound."""
+        doc, line, n, counts = (block[c] for c in ("doc_id", "line", "n", "counts"))
+        most = np.minimum(n[p][:, None], n[t][None]) // edit_words
+        ok = (doc[t][None] < doc[p][:, None]) | ((doc[t][None] == doc[p][:, None]) & (line[t][None] < line[p][:, None]))
+        ok &= abs(n[p][:, None] - n[t][None]) <= most
+        x, y = np.nonzero(ok)
+        for lo in range(0, len(x), 20_000):
+            i, j = x[lo : lo + 20_000], y[lo : lo + 20_000]
+            ok[i, j] = abs(counts[p[i]] - counts[t[j]]).sum(1) <= 2 * most[i, j]
+        return ok
+
+    def candidates(block, p, t):
         """The rows that have one on the other side."""
-        out, hit = [], np.zeros(len(b), bool)
-        if len(a) and len(b):
-            key, counts, ns = int(a["key"].iloc[0]), rows_of(b["counts"]), b["n"].to_numpy("int64")
-            doc, line = b["doc_id"].to_numpy("int64"), b["line"].to_numpy("int64")
-            for h, d, x, n, c in zip(a["h"].tolist(), a["doc_id"].tolist(), a["line"].tolist(), a["n"].tolist(), rows_of(a["counts"]), strict=True):
-                ok = ((doc < d) | ((doc == d) & (line < x))) & close(c, n, counts, ns)
-                if ok.any():
-                    hit |= ok
-                    out.append((key, True, h))
-            out += [(key, False, h) for h in b["h"][hit].tolist()]
-        return out
+        ok, key, h = near_pairs(block, p, t), block["key"], block["h"]
+        return [(key[x], True, h[x]) for x in p[ok.any(1)].tolist()] + [(key[x], False, h[x]) for x in t[ok.any(0)].tolist()]
 
-    flagged = written(_blocks(both, candidates, "key long, probe boolean, h long").distinct(), "candidates")
+    flagged = written(_blocks(both, candidates, [("key", "long"), ("probe", "boolean"), ("h", "long")]).distinct(), "candidates")
     both = flagged.join(texts.select("h", order, "line", "n", "counts", "words"), "h")
 
-    def confirmed(a, b):
-        out = []
-        if len(a) and len(b):
-            counts, ns, words = rows_of(b["counts"]), b["n"].to_numpy("int64"), [w.split() for w in b["words"].tolist()]
-            doc, line = b["doc_id"].to_numpy("int64"), b["line"].to_numpy("int64")
-            for h, d, x, n, c, w in zip(a["h"].tolist(), a["doc_id"].tolist(), a["line"].tolist(), a["n"].tolist(), rows_of(a["counts"]), a["words"].tolist(), strict=True):
-                ok = ((doc < d) | ((doc == d) & (line < x))) & close(c, n, counts, ns)
-                own = w.split()
-                if any(within_edits(own, words[y], int(min(n, ns[y])) // edit_words) for y in np.flatnonzero(ok).tolist()):
-                    out.append((h,))
+    def confirmed(block, p, t):
+        ok, n, words, out = near_pairs(block, p, t), block["n"], block["words"], []
+        for x in np.flatnonzero(ok.any(1)).tolist():
+            own = words[p[x]].split()
+            if any(within_edits(own, words[t[y]].split(), int(min(n[p[x]], n[t[y]])) // edit_words) for y in np.flatnonzero(ok[x]).tolist()):
+                out.append((block["h"][p[x]],))
         return out
 
-    return written(one.unionByName(_blocks(both, confirmed, "h long")).distinct(), "near-long")
+    return written(one.unionByName(_blocks(both, confirmed, [("h", "long")])).distinct(), "near-long")
 
 
 def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int = EDIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
