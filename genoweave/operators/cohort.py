@@ -206,44 +206,71 @@ def distance2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
 
 
-def nearest_controls(cases: DataFrame, controls: DataFrame, k: int, caliper: float | None = None) -> DataFrame:
-    """case, control, dist, place: each case's k nearest controls. Cases are the stated query set, worked through in blocks.
+def nearest_controls(cases: DataFrame, controls: DataFrame, k: int, caliper: float | None = None, block: int = 2000) -> DataFrame:
+    """case, control, dist, place: each case's k nearest controls (ties: the lower id), within the caliper.
 
-    Each task holds one block of controls and answers for all cases of a block; only k candidates a case and block come out.
+    Cases and controls meet in blocks of about `block` rows; a block gives k candidates a case, of which the k best stay. No task holds more.
     """
-    d = F.sqrt(distance2(F.col("pa"), F.col("pb")))
-    rows = cases.select(F.col("iid").alias("case"), F.col("pc").alias("pa")).join(controls.select(F.col("iid").alias("control"), F.col("pc").alias("pb")), F.lit(True)).select("case", "control", d.alias("dist"))
-    if caliper is not None:
-        rows = rows.filter(F.col("dist") <= caliper)
+    n, m = (max(1, -(-x.count() // block)) for x in (cases, controls))
+    own = lambda c: F.pmod(F.xxhash64(F.col("iid")), F.lit(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+    a = cases.select(F.col("iid").cast("long").alias("iid"), "pc", F.lit(True).alias("case"), own(n).alias("i"), every(m).alias("j"))
+    b = controls.select(F.col("iid").cast("long").alias("iid"), "pc", F.lit(False).alias("case"), every(n).alias("i"), own(m).alias("j"))
+
+    def nearest(pdf):
+        import numpy as np
+
+        x, y = pdf[pdf["case"]], pdf[~pdf["case"]].sort_values("iid")
+        out = []
+        if len(x) and len(y):
+            q, ids = np.stack(y["pc"].to_numpy()), y["iid"].to_numpy()
+            for iid, p in zip(x["iid"].tolist(), x["pc"], strict=True):
+                d = np.sqrt(((q - p) ** 2).sum(1))
+                best = np.argsort(d, kind="stable")[:k]
+                out += [(iid, int(ids[c]), float(d[c])) for c in best if caliper is None or d[c] <= caliper]
+        return pd.DataFrame(out, columns=["case", "control", "dist"]).astype({"case": "int64", "control": "int64", "dist": "float64"})
+
+    rows = a.unionByName(b).groupBy("i", "j").applyInPandas(nearest, "case long, control long, dist double")
     return rows.withColumn("place", F.row_number().over(W.partitionBy("case").orderBy("dist", "control"))).filter(F.col("place") <= k)
 
 
 def greedy_match(cases: DataFrame, controls: DataFrame, ratio: int = 1, caliper: float | None = None, drop_partial: bool = False, k: int = 8, seed: int = 0) -> DataFrame:
-    """case, control, dist: cases in a seeded order each take their `ratio` nearest controls that are left.
+    """case, control, dist: cases in a seeded order (md5 of seed and id) each take their `ratio` nearest controls that are left.
 
-    Rounds: every open case asks for its nearest free control among its k nearest; a control goes to the first asking case of the
-    order if no earlier open case could still want it. When a case's candidates are used up, k grows fourfold.
+    With drop_partial a case that gets fewer than `ratio` is dropped and what it held is free for later ones. Taking turns is
+    sequential only among cases that share candidates, even by others: with a caliper each such component is worked through by
+    itself, in parallel; without one there is a single component of k short rows a case. If a case's k candidates run out, k grows fourfold.
     """
-    order = cases.select(F.col("iid").alias("case"), F.row_number().over(W.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("iid").cast("string"))))).alias("turn"))
-    n = controls.count()
+    from ..plans.graph import components
+
+    n, k = controls.count(), max(k, 4 * ratio)
+    turn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("case").cast("string")))
+
+    def claim(pdf):
+        taken: set[int] = set()
+        out = []
+        for (_, case), own in pdf.sort_values(["turn", "case", "place"]).groupby(["turn", "case"], sort=False):
+            free = [(c, d) for c, d in zip(own["control"].tolist(), own["dist"].tolist(), strict=True) if c not in taken][:ratio]
+            cut = len(free) < ratio and len(own) == k < n
+            if len(free) == ratio or not drop_partial:
+                taken.update(c for c, _ in free)
+                out += [(case, c, d, cut) for c, d in free]
+            if cut:
+                out.append((case, None, None, True))
+        return pd.DataFrame(out, columns=["case", "control", "dist", "cut"]).astype({"case": "int64", "control": "Int64", "dist": "float64", "cut": "bool"})
+
     while True:
-        near = nearest_controls(cases, controls, min(k, n), caliper).join(order, "case").select("case", "turn", "control", "dist", "place")
-        # One pass in order over k candidates a case; the rows are k times the cases.
-        taken: set = set()
-        out, short = [], False
-        got: dict = {}
-        for r in near.orderBy("turn", "place").toLocalIterator():
-            if got.get(r["case"], 0) < ratio and r["control"] not in taken:
-                taken.add(r["control"])
-                got[r["case"]] = got.get(r["case"], 0) + 1
-                out.append((r["case"], r["control"], r["dist"]))
-        short = k < n and len(out) < ratio * order.count() and len(taken) < n
-        if not short:
-            break
+        k = min(k, n)
+        near = written(nearest_controls(cases, controls, k, caliper).withColumn("turn", turn), "nearest")
+        if caliper is None:
+            own = near.withColumn("root", F.lit(0))
+        else:  # controls below 0 keep apart from cases
+            own = near.join(components(near.select(F.col("case").alias("u"), (-F.col("control") - 1).alias("v"))).withColumnRenamed("u", "case"), "case")
+        got = written(own.groupBy("root").applyInPandas(claim, "case long, control long, dist double, cut boolean"), "matched")
+        drop(near)
+        if not got.filter("cut").take(1):
+            return got.filter("control is not null").select("case", "control", "dist")
         k *= 4
-    if drop_partial:
-        out = [r for r in out if got[r[0]] == ratio]
-    return cases.sparkSession.createDataFrame(out, "case long, control long, dist double")
 
 
 def cluster_validity(rows: DataFrame) -> DataFrame:

@@ -351,10 +351,29 @@ SQL["merge_invalid_clusters"] = _merge(
 )
 
 
-@query("greedy_match")
-def _(t):
-    c = t.coordinate
-    return C.greedy_match(c.filter("pheno = 1"), c.filter("pheno = 0"), ratio=1)
+def _match(name, **how):
+    caliper, drop = how.get("caliper"), how.get("drop_partial", False)
+    ratio = how.get("ratio", 1)
+    near = "" if caliper is None else f" WHERE dist <= {caliper}"
+    free = "SELECT list(k) FROM (SELECT k FROM d WHERE turn = g.t + 1 AND NOT list_contains(g.taken, k) ORDER BY dist, k LIMIT {r})"
+    got = "(" + free.format(r=ratio) + ")"
+    keep = f"CASE WHEN coalesce(len({got}), 0) = {ratio} THEN {got} ELSE [] END" if drop else f"coalesce({got}, [])"
+    SQL[name] = _merge(
+        "pcs",
+        f"o AS MATERIALIZED (SELECT iid, row_number() OVER (ORDER BY md5(concat('0:', iid)), iid) AS turn FROM pcs WHERE pheno = 1), "
+        f"d0 AS (SELECT o.turn, a.iid AS c, b.iid AS k, sqrt({_D2.format(c='pc')}) AS dist FROM o JOIN pcs a USING (iid) JOIN pcs b ON b.pheno = 0), d AS MATERIALIZED (SELECT * FROM d0{near}), "
+        f"g(t, taken, own) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL SELECT t + 1, list_concat(taken, {keep}), {keep} FROM g WHERE t < (SELECT count(*) FROM o)) "
+        "SELECT d.c AS \"case\", d.k AS control, round(d.dist, 5) AS dist FROM (SELECT t, unnest(own) AS k FROM g) x JOIN d ON d.turn = x.t AND d.k = x.k",
+    )
+
+    @query(name)
+    def _(t):
+        c = t.coordinate
+        return C.greedy_match(c.filter("pheno = 1"), c.filter("pheno = 0"), **how).withColumn("dist", F.round("dist", 5))
+
+
+_match("greedy_match")
+_match("greedy_match_caliper", ratio=2, caliper=1.2, drop_partial=True)
 
 
 @query("kmeans_assign")

@@ -35,4 +35,5 @@ def test_every_twin_has_a_query():
 def test_entry(spark):
     import __spark_entry__
 
-    assert set(__spark_entry__.entry(spark).columns) == {"u", "v", "score"}
+    rows = __spark_entry__.entry(spark)
+    assert set(rows.columns) == {"u", "v", "g11", "x11"} and rows.count() > 0
