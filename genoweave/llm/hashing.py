@@ -75,9 +75,10 @@ def bloom(keys: DataFrame, column: str, bits_a_key: int = 16, most_bits: int = 1
     at = [F.col(column).bitwiseAND(bits - 1), F.shiftrightunsigned(column, 32).bitwiseAND(bits - 1)]
     spots = keys.select(F.explode(F.array(*at)).alias("p"))
     one = F.expr("shiftleft(1L, cast(p & 63 as int))")
-    found = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("v")).toPandas()
+    # By Arrow: as Python rows, a million words would take hundreds of MB.
+    found = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
     words = np.zeros(bits >> 6, "int64")
-    words[found["w"].to_numpy("int64")] = found["v"].to_numpy("int64")
+    words[found["w"].to_numpy()] = found["v"].to_numpy()
     return words.view("uint64"), bits
 
 

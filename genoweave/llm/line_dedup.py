@@ -440,7 +440,9 @@ def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int =
         keyed = lines.select("h", F.explode(column).alias("key")).filter("key is not null")
         return written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"), name)
 
-    shared, anchors = of_several(F.array(*KEYS), "shared"), of_several(F.col("anchors"), "shared-anchors")
+    shared = of_several(F.array(*KEYS), "shared")
+    release(docs.sparkSession)
+    anchors = of_several(F.col("anchors"), "shared-anchors")
     release(docs.sparkSession)
     some = _with_shared(lines, shared, anchors).alias("l").join(first.alias("r"), _same_line("l", "r"), "left_semi")
     wanted = written(some.dropDuplicates(["h"]), "wanted")
