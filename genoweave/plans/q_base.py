@@ -114,7 +114,7 @@ _PAIRS = (
 
 @query("set_pair_similarity", sql=f"WITH {_PAIRS} SELECT a, b, inter, union_size, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM sim WHERE jaccard >= 0.2")
 def _(t):
-    rows = G.similar_pairs(t.word_set, "set_id", "item").filter("jaccard >= 0.2")
+    rows = G.similar_pairs(t.word_set, "set_id", "item", 0.2)
     return rows.select("a", "b", "inter", "union_size", F.round("jaccard", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"))
 
 
