@@ -39,11 +39,31 @@ def widened(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
+def _byte_names() -> dict[int, str]:
+    """The characters that byte-level BPE writes bytes with (public): printable ones stand for themselves, the others are numbered from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """Ids by pre-token. A new one goes through the library's model when it is asked for."""
+
+    def __init__(self, model, width: int):
+        self.tokenize, self.width, self.names = model.tokenize, width, _byte_names()
+
+    def __missing__(self, part: str) -> bytes:
+        own = packed([t.id for t in self.tokenize(part.encode("utf-8").decode("latin-1").translate(self.names))], self.width)
+        if len(part) <= LONG:
+            self[part] = own
+        return own
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned integers of `width` bytes: 2 if the vocabulary allows it, else 4.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in a row; each
-    new pre-token goes through the library once and is then remembered. Any text with a character outside
+    new pre-token goes through the library's model once and is then remembered. Any text with a character outside
     the agreed set, with the content of an added token, or for another kind of tokenizer, goes through the
     library whole. At `most` entries the older half of the cache is dropped and pre-tokens of over LONG
     characters aren't kept, so memory is bounded.
@@ -53,9 +73,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.most, self.cache = most, {}
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.cache = _Known(self.tokenizer.model, self.width)
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.splits = (
@@ -79,23 +100,10 @@ class Encoder:
             if len(parts) < 2:
                 yield self.whole(text)
                 continue
-            ids_of = itemgetter(*parts)
-            try:
-                yield b"".join(ids_of(cache))
-                continue
-            except KeyError:
-                pass
             if len(cache) > self.most:
                 for p in list(islice(cache, self.most // 2)):
                     del cache[p]
-            new = [p for p in set(parts) if p not in cache]
-            own = {p: packed(e.ids, self.width) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if max(map(len, own)) <= LONG:
-                cache.update(own)
-                yield b"".join(ids_of(cache))
-            else:  # long ones aren't remembered, so the cache is bounded in bytes
-                cache.update((p, x) for p, x in own.items() if len(p) <= LONG)
-                yield b"".join([cache.get(p) or own[p] for p in parts])
+            yield b"".join(itemgetter(*parts)(cache))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -42,3 +42,17 @@ def test_samples_are_bounded_by_rows(spark):
     known = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
     rows = sample_texts(docs, known, "toxic", 10, "doc_id", "text").collect()
     assert len(rows) == 10 and sum(r["y"] for r in rows) == 5
+
+
+def test_new_pretokens_are_asked_for_one_by_one():
+    """Only unknown pre-tokens go through the model, once; long ones aren't remembered, and dropped ones come again."""
+    from genoweave.llm.tokens import LONG, Encoder
+
+    e = Encoder(tokenizer_path(), most=5)
+    asked, own = [], e.cache.tokenize
+    e.cache.tokenize = lambda s: asked.append(s) or own(s)
+    long = "x" * (LONG + 1)
+    texts = ["one two three", "one two four", f"one {long} two", "ça coûte 12, naïve été's  \n\t ~~ end", "one two three"]
+    assert [e.whole(t) for t in texts] == list(e.encode(texts))
+    assert asked[:4] == ["one", "Ġtwo", "Ġthree", "Ġfour"] and "Ġ" + long in asked
+    assert max(map(len, e.cache)) <= LONG and asked.count("one") == 2
