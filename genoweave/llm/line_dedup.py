@@ -239,23 +239,26 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     return rows.mapInArrow(run, "h long, doc_id long, line int, words binary, counts binary")
 
 
-def variants(words: bytes, open_: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and roles of a line's deletion variants. Roles: 0 a word replaced at i, 1 the line itself, 2 the line without a word.
+def variants(words: list[bytes], open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, roles and lines (their places in `words`) of lines' deletion variants. Roles: 0 a word replaced at i, 1 the line itself, 2 the line without a word.
 
     open_ says which keys other lines share. A word is left out only in the thirds that shared keys for m = n leave open;
-    for a longer partner the line itself is enough.
+    for a longer partner the line itself is enough. All lines at once, by differences of running sums as in Lines.
     """
-    h, _ = words_and_lines(words.decode("utf-8", "surrogatepass"))
-    n = len(h)
-    _powers.reach(n + 2)
-    a, b = n // 3, 2 * n // 3
-    i = np.concatenate([np.arange(lo, hi) for bit, lo, hi in ((4, 0, a), (2, a, b), (1, b, n)) if open_ & bit] or [np.zeros(0, "int64")])
-    run = np.concatenate([np.zeros(1, "uint64"), np.cumsum(h * _powers.up[:n], dtype="uint64")])
-    without = run[i] + (run[-1] - run[i + 1]) * _U(_INVERSE)  # words after i move one place down
-    v = _hash(without, np.full(len(i), n - 1, "uint64"))
-    same = mix(v + (i.astype("uint64") + _U(1)) * _U(_M))
-    whole = _hash(run[-1:], np.full(1, n, "uint64"))
-    return as_long(np.concatenate([same, v, whole])), np.repeat(np.array([0, 2, 1], "int32"), [len(i), len(i), 1])
+    h, ends = words_and_lines(b"\n".join(words).decode("utf-8", "surrogatepass"))
+    n = np.diff(ends, prepend=0)
+    _powers.reach(int(n.max()) + 2)
+    first, line = ends - n, np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(h)) - first[line]
+    run = np.concatenate([np.zeros(1, "uint64"), np.cumsum(h * _powers.up[place], dtype="uint64")])
+    third = np.where(place < (n // 3)[line], 4, np.where(place < (2 * n // 3)[line], 2, 1))
+    at = np.flatnonzero(open_[line] & third)
+    own = line[at]
+    without = run[at] - run[first][own] + (run[ends][own] - run[at + 1]) * _U(_INVERSE)  # words after i move one place down
+    v = _hash(without, (n[own] - 1).astype("uint64"))
+    same = mix(v + (place[at].astype("uint64") + _U(1)) * _U(_M))
+    whole = _hash(run[ends] - run[first], n.astype("uint64"))
+    return as_long(np.concatenate([same, v, whole])), np.repeat(np.array([0, 2, 1], "int32"), [len(at), len(at), len(n)]), np.concatenate([own, own, np.arange(len(n))])
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -457,13 +460,17 @@ def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int =
 
     def emit(batches):
         import pyarrow as pa
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                own = [variants(w, o) for w, o in zip(part.column("words").to_pylist(), part.column("open").to_pylist(), strict=True)]
-                at = pa.array(np.repeat(np.arange(len(own)), [len(k) for k, _ in own]))
-                columns = [pa.array(np.concatenate([k for k, _ in own])), pa.array(np.concatenate([r for _, r in own]))]
+        import pyarrow.compute as pc
+
+        for batch in batches:  # as many lines at once as have TOGETHER bytes or so
+            size = np.cumsum(pc.binary_length(batch.column("words")).to_numpy().astype("int64")) // TOGETHER
+            cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if not part.num_rows:
+                    continue
+                keys, roles, at = variants(part.column("words").to_pylist(), part.column("open").to_numpy())
+                columns, at = [pa.array(keys), pa.array(roles)], pa.array(at)
                 yield pa.RecordBatch.from_arrays([*columns, *(part.column(c).take(at) for c in ("h", "doc_id", "line"))], ["key", "role", "h", "doc_id", "line"])
 
     rows = written(texts.filter("open <> 0").select("words", "open", "h", "doc_id", "line").mapInArrow(emit, "key long, role int, h long, doc_id long, line int"), "variants")

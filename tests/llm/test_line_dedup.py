@@ -46,3 +46,22 @@ def test_bound_grows_with_the_line(spark, monkeypatch):
     assert sum(map(bool, want)) < 100  # many differ by more than one word
     rows = line_dedup.dedup_lines(make(spark, [(i, t, "a") for i, t in enumerate(texts)]), **line_dedup.WHOLE).collect()
     assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(want))
+
+
+def test_variants_of_many_lines_at_once():
+    """Lines worked through together have the keys that they have alone, and those of the definition meet."""
+    import numpy as np
+
+    from genoweave.llm.line_dedup import variants
+
+    lines = [b"a b c", b"a x c", b"a c", "é ü ç d e f g".encode(), b"one"]
+    keys, roles, at = variants(lines, np.full(len(lines), 7, "int32"))
+    together = sorted(zip(at.tolist(), roles.tolist(), keys.tolist(), strict=True))
+    alone = [(i, r, k) for i, w in enumerate(lines) for k, r, _ in zip(*(x.tolist() for x in variants([w], np.array([7], "int32"))), strict=True)]
+    assert together == sorted(alone)
+    of = lambda i, role: {k for j, r, k in together if (j, r) == (i, role)}
+    assert [len(of(i, 0)) for i in range(5)] == [3, 3, 2, 7, 1]
+    assert len(of(0, 0) & of(1, 0)) == 1  # one word replaced
+    assert of(2, 1) <= of(0, 2) and of(2, 1) <= of(1, 2) and not of(3, 1) & of(0, 2)  # one left out
+    none = variants(lines, np.array([4, 0, 0, 0, 0], "int32"))
+    assert none[1].tolist() == [0, 2, 1, 1, 1, 1, 1]
