@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _M = 0x9E3779B97F4A7C15
-_POWERS = np.ones(1, "uint64")
+_POWERS = _INVERSES = np.ones(1, "uint64")
+#: Bytes of a text up to which the powers reach over all of it.
+_SPAN = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -28,26 +30,36 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def words_and_lines(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes, and for each line (between \\n) the number of words before its end."""
-    global _POWERS
     if not text:
         return np.zeros(0, "uint64"), np.zeros(1, "int64")
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), "u1")  # bytes.lower() changes A-Z only
-    letter = ~_SPACE[data]
-    own = data[letter].astype("uint64") + np.uint64(1)
-    if not len(own):
-        return own, np.zeros(1 + int((data == 10).sum()), "int64")
-    edge = letter.copy()
-    edge[1:] &= ~letter[:-1]  # first bytes of words
-    starts = (np.cumsum(letter) - 1)[edge]
-    sizes = np.diff(np.append(starts, len(own)))
-    most = int(sizes.max())
+    space = np.ones(len(data) + 2, bool)
+    np.take(_SPACE, data, out=space[1:-1])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, stops = edges[::2], edges[1::2]
+    ends = np.append(np.searchsorted(starts, np.flatnonzero(data == 10)), len(starts))
+    return mix(_sums(data, starts, stops)), ends
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Sum of (byte + 1) * _M ** place over each word, place counted in the word."""
+    global _POWERS, _INVERSES
+    most = len(data) if len(data) <= _SPAN else int((stops - starts).max(initial=0))
     if most > len(_POWERS):
-        factors = np.full(2 * most, _M, "uint64")
-        factors[0] = 1
-        _POWERS = np.multiply.accumulate(factors)
-    place = np.arange(len(own)) - np.repeat(starts, sizes)
-    ends = np.append(np.searchsorted(np.flatnonzero(edge), np.flatnonzero(data == 10)), len(starts))
-    return mix(np.add.reduceat(own * _POWERS[place], starts)), ends
+        _POWERS, _INVERSES = (np.multiply.accumulate(np.where(np.arange(2 * most) == 0, np.uint64(1), np.uint64(b))) for b in (_M, pow(_M, -1, 1 << 64)))
+    if len(data) <= _SPAN:  # differences of a running sum, with powers counted from the beginning and taken back
+        run = np.zeros(len(data) + 1, "uint64")
+        np.cumsum((data.astype("uint64") + np.uint64(1)) * _POWERS[: len(data)], out=run[1:])
+        return (run[stops] - run[starts]) * _INVERSES[starts]
+    out = np.zeros(len(starts), "uint64")  # the table of powers need not be as long as a very long text
+    for lo in range(0, len(starts), _SPAN):
+        a, b = starts[lo : lo + _SPAN], stops[lo : lo + _SPAN]
+        size = b - a
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        own = data[np.repeat(a, size) + place].astype("uint64") + np.uint64(1)
+        out[lo : lo + _SPAN] = np.add.reduceat(own * _POWERS[place], first)
+    return out
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

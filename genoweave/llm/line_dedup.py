@@ -5,11 +5,13 @@ Two lines are alike if their words (A-Z lower-cased) are within one word edit: a
 an earlier line, by (doc_id, line number), is equal or alike; the earliest stays. Exact repeats of every line with a word
 are removed; alike lines from near_words words on (at two words, any two lines with a common word would be alike).
 
-One pass over the texts makes a table of lines; a second one fetches the texts of those lines only that share a key.
+One pass over the texts makes a table of lines, in blocks of numbers (`parts`); a second one fetches the texts of those lines only that
+may have a partner. Lines, keys, cells and variants go through shuffles in blocks, too, and numpy finds what meets there.
 
-1. Each line becomes a hash and, from near_words words on, keys of all its words but one third: an edit lies in one third of the
+1. Each line becomes a hash and, from near_words to 2 * edit_words words, keys of all its words but one third: an edit lies in one third of the
    longer line's m words, and lines within one edit agree outside it. So each line has three keys as the longer line (m its own number
-   of words) and three as the shorter one. Lines whose keys no other line has can't have a partner within one edit.
+   of words) and three as the shorter one. Lines whose keys no other line has can't have a partner within one edit. A longer line's
+   partners have 2 * edit_words words at least, so they are found by 4.
 2. The others emit their deletion variants: the line without its i-th word, for every i in a third that a shared key leaves open.
    Equal variants with equal i are a replaced word; a variant equal to a whole line is a word put in.
 3. Of each variant's lines only the earliest matters, so variants are aggregated to their earliest line, never
@@ -19,24 +21,28 @@ One pass over the texts makes a table of lines; a second one fetches the texts o
    most. Lines meet in cells of (anchor, size, place), where sizes and places are binned so that alike lines share a cell;
    lines that merely contain the same passage mostly don't. Cells with the same lines count once. In a cell
    each line is compared with the earliest, and those not removed by that with all others, in blocks: first by counts of
-   words in BUCKETS buckets, which differ by two at most for each edit, then on their words.
+   words in BUCKETS buckets, which differ by two at most for each edit, then on their words. Words are fetched only for lines
+   that pass the first comparison, or that are in cells of more than two.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, release, written
 from .hashing import as_long, bloom, in_bloom, mix, windows, words_and_lines
+from .parts import Filter, blobs, dealt, in_runs, joined, least_and_most, of_parts, part_of, parts_for, schema, shared_keys
 
 MIN_WORDS, NEAR_WORDS, EDIT_WORDS = 1, 3, 16
 WHOLE = {"min_words": MIN_WORDS, "near_words": NEAR_WORDS, "edit_words": EDIT_WORDS}
 #: e edits in n >= e * edit_words words (e >= 2) leave a run of (n - e) / (e + 1) words or more: 10 at 16 words an edit.
-RUN, GRAM, BUCKETS, BLOCK, SPAN = 10, 6, 64, 500, 4
+RUN, GRAM, BUCKETS, BLOCK, SPAN = 10, 6, 64, 500, 8
+#: Candidate pairs of a block for each line that has any, beyond which the lines are written down instead.
+DENSE = 1
+#: Bits of a filter at most; beyond that it lets more through.
+MOST_BITS = 1 << 29
 _M = 0x9E3779B97F4A7C15
 _INVERSE = pow(_M, -1, 1 << 64)
 _U = np.uint64
@@ -90,23 +96,24 @@ class Lines:
 
     def anchors(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of number, anchor, its place in the line) of the lines of `least` words or more, each line's in order."""
-        grams, none = windows(self.words, GRAM), np.zeros(0, "int64")
+        grams = windows(self.words, GRAM)
         width = RUN - GRAM + 1
-        if len(grams) < width:
-            return none, grams[:0], none
-        n = len(grams) - width + 1
-        at = np.flatnonzero((self.size[:n] >= least) & (self.place[:n] + RUN <= self.size[:n]))
-        if not len(at):
-            return none, grams[:0], none
-        best, low = at.copy(), grams[at]
+        n = max(0, len(grams) - width + 1)
+        within = (self.size[:n] >= least) & (self.place[:n] + RUN <= self.size[:n])
+        low = grams[:n].copy()
         for i in range(1, width):
-            own = grams[at + i]
-            less = own < low
-            best[less], low[less] = at[less] + i, own[less]
-        row = np.searchsorted(self.first, at, side="right") - 1
-        new = np.ones(len(at), bool)
-        new[1:] = (row[1:] != row[:-1]) | (best[1:] != best[:-1])
-        return row[new], mix(low[new]), self.place[best[new]]
+            np.minimum(low, grams[i : i + n], out=low)
+        best = np.zeros(len(grams), bool)
+        for i in range(width if n else 0):
+            best[i : i + n] |= within & (grams[i : i + n] == low)
+        at = np.flatnonzero(best)
+        return np.searchsorted(self.first, at, side="right") - 1, mix(grams[at]), self.place[at]
+
+    def counts(self, least: int) -> np.ndarray:
+        """Words in each of BUCKETS buckets (up to 255), of the lines of `least` words or more."""
+        n = self.n[self.n >= least]
+        bucket = (self.words[self.size >= least] & _U(BUCKETS - 1)).astype("int64") + np.repeat(np.arange(len(n)) * BUCKETS, n)
+        return np.minimum(np.bincount(bucket, minlength=len(n) * BUCKETS), 255).astype("u1").reshape(-1, BUCKETS)
 
 
 #: Texts are worked through together, up to so many characters, to spare calls.
@@ -133,71 +140,245 @@ def _together(texts: list[str | None], min_words: int, near_words: int):
         lo = hi
 
 
+#: A block's columns: of each line its hash, number of words, document and number (-1 - number where the id is null); of the lines
+#: that are compared by one edit their keys; of long ones counts, cells, one line's after the other's, and how many cells each has.
+KINDS = {"h": ("uint64", 0), "n": ("int32", 0), "doc": ("int64", 0), "line": ("int32", 0), "keys": ("uint64", 6), "counts": ("u1", BUCKETS), "cells": ("uint64", 0), "sizes": ("int32", 0)}
+BLOCK_BYTES = 1 << 22
+
+
+def _of(blocks: DataFrame, *names: str):
+    return blocks.select(*names), [KINDS[c] for c in names]
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int, edit_words: int) -> DataFrame:
-    """doc_id, line, h, n words and keys k0 to k5 (null: a short line) of every line with min_words words or more; anchors and places of long ones."""
+    """Blocks of all lines with min_words words or more; n_lines, n_keys, n_cells: their sizes.
 
-    def run(batches):
-        import pyarrow as pa
+    From 2 * edit_words + 1 words on a line needs no keys: what is one edit away is a long line too, and shares a cell.
+    """
+    least = 2 * edit_words
 
+    def run(batches):
+        found, size = [], 0
         for batch in batches:
+            ids, known = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for _, own, at, line in _together(batch.column(1).to_pylist(), min_words, near_words):
-                row, anchor, place = own.anchors(2 * edit_words)
-                ends = pa.array(np.searchsorted(row, np.arange(len(own.number) + 1)).astype("int32"))
-                columns = [batch.column(0).take(pa.array(at)), pa.array(line.astype("int32")), pa.array(as_long(own.h)), pa.array(own.n.astype("int32"))]
-                columns += [pa.array(as_long(np.ascontiguousarray(own.keys[:, i])), mask=~own.near) for i in range(6)]
-                columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (as_long(anchor), place.astype("int32"))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "h", "n", *KEYS, "anchors", "places"])
+                row, key = cells(own, least, edit_words)
+                near = (own.n >= near_words) & (own.n <= least)
+                sizes = np.bincount(row, minlength=len(own.n))[own.n >= least]
+                line = np.where(known[at], line, -1 - line).astype("int32")
+                found.append([own.h, own.n.astype("int32"), ids[at], line, own.keys[near], own.counts(least), key, sizes.astype("int32")])
+                size += sum(x.nbytes for x in found[-1])
+                if size >= BLOCK_BYTES:
+                    yield block(found)
+                    found, size = [], 0
+        if found:
+            yield block(found)
+
+    def block(found):
+        import pyarrow as pa
+
+        columns = joined(found)
+        sizes = [pa.array([len(columns[i])], pa.int64()) for i in (0, 4, 6)]
+        return pa.RecordBatch.from_arrays([*sizes, *(blobs([c], np.array([0, len(c)]))[0] for c in columns)], ["n_lines", "n_keys", "n_cells", *KINDS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc_id long, line int, h long, n int, {', '.join(f'{k} long' for k in KEYS)}, anchors array<long>, places array<int>")
+    return rows.mapInArrow(run, "n_lines long, n_keys long, n_cells long, " + ", ".join(f"{c} binary" for c in KINDS))
 
 
-KEYS = [f"k{i}" for i in range(6)]
+def cells(own: Lines, least: int, edit_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, in order, and keys of the cells that alike lines share.
 
+    Alike lines have sizes within (edit_words + 1) / edit_words of each other, and their anchor's places differ by the number
+    of edits at most. Sizes are binned by powers of two and places by SPAN times the most edits of the size bin; what lies so
+    near its bin's upper border that an alike line may be in the next one goes to both.
+    """
+    row, anchor, place = own.anchors(least)
+    n = own.n[row]
+    band = np.frexp(n.astype("float64"))[1].astype("int64") - 1
+    next_ = np.flatnonzero(n * (edit_words + 1) >= edit_words << (band + 1))
+    which, band = np.concatenate([np.arange(len(n)), next_]), np.concatenate([band, band[next_] + 1])
+    most = np.maximum(1, ((2 << band) - 1) // edit_words)  # edits of the lines in this bin
+    at, rest = np.divmod(place[which], most * SPAN)
+    next_ = np.flatnonzero(rest + most >= most * SPAN)
+    which, band, at = np.concatenate([which, which[next_]]), np.concatenate([band, band[next_]]), np.concatenate([at, at[next_] + 1])
+    key = mix(anchor[which] + mix((band.astype("uint64") << _U(48)) + at.astype("uint64")))
+    order = np.argsort(row[which], kind="stable")
+    return row[which][order], key[order]
+
+
+def _doc_ids(doc: np.ndarray, line: np.ndarray):
+    """Arrow columns of what a block holds as doc and line."""
+    import pyarrow as pa
+
+    return pa.array(doc, mask=line < 0), pa.array(np.where(line < 0, -1 - line, line).astype("int32"))
+
+
+def _order(doc: np.ndarray, line: np.ndarray, *before: np.ndarray) -> np.ndarray:
+    """By what comes before (the last counts most), then as (doc_id, line), null ids first."""
+    return np.lexsort((np.where(line < 0, -1 - line, line), doc, line >= 0, *before))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def repeats(lines: DataFrame, parts: int) -> DataFrame:
+    """doc_id, line of every line that an earlier one equals. A batch settles its own repeats, so that a common line is sent once."""
+    blocks, kinds = _of(lines, "h", "doc", "line")
+
+    def of(h, doc, line):
+        """Order, firsts there, and which others aren't at the first one's place (rows may share an id)."""
+        order = _order(doc, line, h)
+        h, doc, line = h[order], doc[order], line[order]
+        first = _changes(h)
+        at = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, "int64")
+        return order, first, (doc != doc[at]) | (line != line[at])
+
+    def send(batches):
+        for h, doc, line in in_runs(batches, kinds):
+            order, first, gone = of(h, doc, line)
+            order, gone = order[first | gone], gone[first | gone]
+            h, doc, line = h[order], doc[order], line[order]
+            yield dealt(np.where(gone, _place_hash(doc, line), h), [h, doc, line, gone.astype("u1")], parts)
+
+    def find(part, columns):
+        import pyarrow as pa
+
+        h, doc, line, settled = columns
+        done = settled == 1
+        order, _, gone = of(h[~done], doc[~done], line[~done])
+        at = np.concatenate([np.flatnonzero(done), np.flatnonzero(~done)[order[gone]]])
+        return pa.RecordBatch.from_arrays([*_doc_ids(doc[at], line[at])], ["doc_id", "line"])
 
-def _same_line(left: str, right: str):
-    return (F.col(f"{left}.h") == F.col(f"{right}.h")) & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.line") == F.col(f"{right}.line"))
+    return of_parts(blocks.mapInArrow(send, schema(4)), [*kinds, ("u1", 0)], find, "doc_id long, line int")
 
 
-def _with_shared(lines: DataFrame, keys: DataFrame, anchors: DataFrame) -> DataFrame:
-    """h, doc_id, line, n, open (which of the six keys are shared), anchors and places (shared ones) of lines that have any.
+def _ragged(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The values of some rows, one row's after the other's."""
+    own = sizes[rows].astype("int64")
+    first = np.cumsum(sizes, dtype="int64") - sizes
+    return flat[np.repeat(first[rows] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
 
-    The shared keys and anchors come as Bloom filters, so a few others pass too.
+
+def with_shared(lines: DataFrame, keys: Filter, shared: Filter, near_words: int, least: int, parts: int) -> DataFrame:
+    """h, doc_id, line, n, open (which of the six keys are shared), counts and cells (the shared ones) of first occurrences of lines that have any.
+
+    The filters let a few others pass too. Copies of a line have the same keys, so the first of those that pass is the line's first.
     """
-    sent = [(lines.sparkSession.sparkContext.broadcast(words), bits) for words, bits in (bloom(keys, "key"), bloom(anchors, "key"))]
+    blocks, kinds = _of(lines, *KINDS)
+    sent = lines.sparkSession.sparkContext.broadcast((keys, shared))
+    kinds_sent = [("uint64", 0), ("int64", 0), ("int32", 0), ("int32", 0), ("u1", 0), ("u1", BUCKETS), ("int32", 0)]
+
+    def firsts(h, doc, line):
+        order = _order(doc, line, h)
+        return order[_changes(h[order])]
+
+    def send(batches):
+        for h, n, doc, line, own_keys, counts, own_cells, sizes in in_runs(batches, kinds):
+            open_, size, count = np.zeros(len(h), "u1"), np.zeros(len(h), "int32"), np.zeros((len(h), BUCKETS), "u1")
+            ok = sent.value[0].has(own_keys.ravel()).reshape(-1, 6)
+            open_[(n >= near_words) & (n <= least)] = (ok.astype("u1") << np.arange(6, dtype="u1")).sum(1)
+            long = np.flatnonzero(n >= least)
+            ok = sent.value[1].has(own_cells)
+            size[long] = np.bincount(np.repeat(np.arange(len(long)), sizes)[ok], minlength=len(long))
+            count[long] = counts
+            hit = np.flatnonzero((open_ > 0) | (size > 0))
+            hit = hit[firsts(h[hit], doc[hit], line[hit])]
+            hit = hit[np.argsort(part_of(h[hit], parts), kind="stable")]
+            if not len(hit):
+                continue
+            batch = dealt(h[hit], [x[hit] for x in (h, doc, line, n, open_, count, size)], parts)
+            sent_sizes = np.append(0, np.cumsum(size[hit], dtype="int64"))
+            ends = np.append(0, np.searchsorted(part_of(h[hit], parts), batch.column(0).to_numpy(), side="right"))
+            yield batch.append_column("c7", blobs([_ragged(own_cells[ok], size, hit)], sent_sizes[ends])[0])
 
-    def run(batches):
+    def find(part, columns):
         import pyarrow as pa
 
-        (key_words, key_bits), (anchor_words, anchor_bits) = ((x.value, bits) for x, bits in sent)
+        h, doc, line, n, open_, count, size, flat = columns
+        at = firsts(h, doc, line)
+        ends = np.append(0, np.cumsum(size[at], dtype="int64"))
+        numbers = np.arange(len(at) + 1)
+        own = [pa.array(as_long(h[at])), *_doc_ids(doc[at], line[at]), pa.array(n[at]), pa.array(open_[at].astype("int32"))]
+        return pa.RecordBatch.from_arrays([*own, *blobs([count[at]], numbers), *blobs([_ragged(flat, size, at)], ends)], ["h", "doc_id", "line", "n", "open", "counts", "cells"])
+
+    return of_parts(blocks.mapInArrow(send, schema(8)), [*kinds_sent, ("uint64", 0)], find, "h long, doc_id long, line int, n int, open int, counts binary, cells binary")
+
+
+def anchored(wanted: DataFrame, parts: int) -> DataFrame:
+    """key, h, doc_id, line, n, all (lines of the cell), other (the earliest one) of lines in cells of two lines or more. Cells with the same lines count once."""
+    kinds = [("uint64", 0), ("uint64", 0), ("int64", 0), ("int32", 0), ("int32", 0)]
+
+    def send(batches):
+        import pyarrow.compute as pc
+
         for batch in batches:
-            open_ = np.zeros(batch.num_rows, "int32")
-            for i, k in enumerate(KEYS):
-                own = batch.column(k)
-                ok = in_bloom(key_words, key_bits, own.fill_null(0).to_numpy().view("uint64")) & ~own.is_null().to_numpy(zero_copy_only=False)
-                open_ |= ok.astype("int32") << i
-            flat, place = batch.column("anchors").flatten().to_numpy(), batch.column("places").flatten().to_numpy()
-            size = np.asarray(batch.column("anchors").value_lengths().fill_null(0))
-            row = np.repeat(np.arange(batch.num_rows), size)
-            ok = in_bloom(anchor_words, anchor_bits, flat.view("uint64"))
-            row, flat, place = row[ok], flat[ok], place[ok]
-            hit = np.union1d(np.flatnonzero(open_), row)
-            if not len(hit):
-                continue
-            ends = pa.array(np.append(np.searchsorted(row, hit), len(row)).astype("int32"))
-            columns = [batch.column(c).take(pa.array(hit)) for c in ("h", "doc_id", "line", "n")] + [pa.array(open_[hit])]
-            columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, place)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "n", "open", "anchors", "places"])
+            size = pc.binary_length(batch.column("cells")).to_numpy().astype("int64") // 8
+            cell = np.frombuffer(b"".join(batch.column("cells").to_pylist()), "uint64")
+            if len(cell):
+                at = np.repeat(np.arange(len(size)), size)
+                known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                h, doc, line, n = (batch.column(c).fill_null(0).to_numpy() for c in ("h", "doc_id", "line", "n"))
+                line = np.where(known, line, -1 - line).astype("int32")
+                yield dealt(cell, [cell, h.view("uint64")[at], doc[at], line[at], n[at]], parts)
+
+    def sets(part, columns):
+        cell, h = columns[:2]
+        order = np.lexsort((h, cell))
+        order = order[_changes(cell[order], h[order])]  # a line may have a cell twice
+        cell, h = cell[order], h[order]
+        starts = np.flatnonzero(_changes(cell))
+        size = np.diff(np.append(starts, len(cell)))
+        own = mix(np.add.reduceat(mix(h + _U(_M)), starts) + mix(h[starts] ^ size.astype("uint64")))
+        keep = np.repeat(size > 1, size)
+        if not keep.any():
+            return None
+        own, size, order = np.repeat(own, size)[keep], np.repeat(size, size)[keep], order[keep]
+        return dealt(own, [own, size, *(c[order] for c in columns)], parts)
+
+    def find(part, columns):
+        import pyarrow as pa
+
+        own, size, cell, h, doc, line, n = columns
+        order = np.lexsort((cell, own))
+        at = np.flatnonzero(_changes(own[order]))
+        first = np.repeat(cell[order][at], np.diff(np.append(at, len(order))))
+        order = order[cell[order] == first]
+        order = order[_order(doc[order], line[order], own[order])]
+        at = np.flatnonzero(_changes(own[order]))
+        other = np.repeat(h[order][at], np.diff(np.append(at, len(order))))
+        arrays = [pa.array(as_long(own[order])), pa.array(as_long(h[order])), *_doc_ids(doc[order], line[order]), pa.array(n[order]), pa.array(size[order]), pa.array(as_long(other))]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "h", "doc_id", "line", "n", "all", "other"])
 
-    return lines.mapInArrow(run, "h long, doc_id long, line int, n int, open int, anchors array<long>, places array<int>")
+    rows = wanted.select("h", "doc_id", "line", "n", "cells").filter(F.length("cells") > 0).mapInArrow(send, schema(5))
+    rows = of_parts(rows, kinds, sets, schema(7))
+    return of_parts(rows, [("uint64", 0), ("int64", 0), *kinds], find, "key long, h long, doc_id long, line int, n int, all long, other long")
 
 
 def _place_hash(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(mix(doc_id.view("uint64") + _U(_M)) + line.astype("uint64") * _U(_M))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h, doc_id, line, words and counts of the wanted lines (h, doc_id, line), from a second pass that splits texts but hashes only what is wanted."""
+def _passing(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose hash in `column` is among keys, and a few others."""
+    words, bits = bloom(keys, "key")
+    sent = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(in_bloom(sent.value, bits, batch.column(column).to_numpy().view("uint64"))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, keys: Filter, near_words: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """h, doc_id, line, open and words of the wanted lines (doc_id, line) and a few others, from a second pass that splits texts but hashes only what is wanted."""
 
     def places(batches):
         import pyarrow as pa
@@ -206,37 +387,37 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(as_long(_place_hash(batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy())))], ["key"])
 
     words, bits = bloom(wanted.select("doc_id", "line").mapInArrow(places, "key long"), "key")
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    sent = docs.sparkSession.sparkContext.broadcast((words, keys))
 
     def run(batches):
         import pyarrow as pa
 
+        words, keys = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                texts = batch.column(1).slice(lo, 200).to_pylist()
-                ids = batch.column(0).slice(lo, 200)
-                size = np.array([(t or "").count("\n") + 1 for t in texts])
+            for lo in range(0, batch.num_rows, 500):
+                texts = [t or "" for t in batch.column(1).slice(lo, 500).to_pylist()]
+                ids = batch.column(0).slice(lo, 500)
+                size = np.array([t.count("\n") + 1 for t in texts])
                 line = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 at = np.repeat(np.arange(len(texts)), size)
-                hit = np.flatnonzero(in_bloom(sent.value, bits, _place_hash(ids.fill_null(0).to_numpy()[at], line)))
+                hit = np.flatnonzero(in_bloom(words, bits, _place_hash(ids.fill_null(0).to_numpy()[at], line)))
                 if not len(hit):
                     continue
                 at, line, last, found = at[hit], line[hit], -1, []
                 for a, i in zip(at.tolist(), line.tolist(), strict=True):
                     if a != last:
-                        last, split = a, (texts[a] or "").split("\n")
+                        last, split = a, texts[a].split("\n")
                     found.append(split[i])
                 own = Lines("\n".join(found), 1, 1)  # a line without words has no number there
                 body = [b" ".join(found[i].encode("utf-8", "surrogatepass").lower().split()) for i in own.number.tolist()]
-                bucket = (own.words & _U(BUCKETS - 1)).astype("int64") + np.repeat(np.arange(len(own.n)), own.n) * BUCKETS
-                counts = np.minimum(np.bincount(bucket, minlength=len(own.n) * BUCKETS), 255).astype("u1").tobytes()
                 at, line = at[own.number], line[own.number]
-                columns = [pa.array(as_long(own.h)), ids.take(pa.array(at)), pa.array(line.astype("int32")), pa.array(body, pa.binary())]
-                columns.append(pa.array([counts[i : i + BUCKETS] for i in range(0, len(counts), BUCKETS)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "words", "counts"])
+                open_ = (keys.has(own.keys.ravel()).reshape(-1, 6).astype("int32") << np.arange(6, dtype="int32")).sum(1)
+                open_[(own.n < near_words) | (own.n > least)] = 0
+                columns = [pa.array(as_long(own.h)), ids.take(pa.array(at)), pa.array(line.astype("int32")), pa.array(open_.astype("int32")), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "line", "open", "words"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "h long, doc_id long, line int, words binary, counts binary")
+    return rows.mapInArrow(run, "h long, doc_id long, line int, open int, words binary")
 
 
 def variants(words: list[bytes], open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,7 +500,7 @@ def _blocks(rows: DataFrame, compare, fields: list[tuple[str, str]]) -> DataFram
             own = probe[lo:hi]
             if own.any() and not own.all():
                 out += compare(block, lo + np.flatnonzero(own), lo + np.flatnonzero(~own))
-        kinds = {"long": pa.int64(), "boolean": pa.bool_()}
+        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[k]) for i, (_, k) in enumerate(fields)], [c for c, _ in fields])
 
     def run(batches):
@@ -344,63 +525,116 @@ def _blocks(rows: DataFrame, compare, fields: list[tuple[str, str]]) -> DataFram
     return rows.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in fields))
 
 
-def cells(members: DataFrame, edit_words: int) -> DataFrame:
-    """key, h, doc_id, line, n of lines in the cells that alike lines share; members: anchor, place, h, doc_id, line, n.
+def one_edit_pairs(texts: DataFrame, parts: int) -> DataFrame:
+    """h, other: lines that share a deletion variant with an earlier line, the earliest of them. texts: h, doc_id, line, open, words."""
+    kinds = [("uint64", 0), ("u1", 0), ("uint64", 0), ("int64", 0), ("int32", 0)]
 
-    Alike lines have sizes within (edit_words + 1) / edit_words of each other, and their anchor's places differ by the number
-    of edits at most. Sizes are binned by powers of two and places by SPAN times the most edits of the size bin; what lies so
-    near its bin's upper border that an alike line may be in the next one goes to both.
-    """
-    n, place, one = F.col("n").cast("double"), F.col("place"), F.lit(1).cast("long")
-    band = F.floor(F.log2(n))
-    ends = F.when(n * (edit_words + 1) / edit_words >= F.pow(F.lit(2.0), band + 1), band + 1).otherwise(band)
-    rows = members.withColumn("band", F.explode(F.sequence(band, ends)))
-    most = F.floor(F.pow(F.lit(2.0), F.col("band") + 1) / edit_words) + 1  # edits of the lines in this bin
-    at, rest = F.floor(place / (most * SPAN)), F.pmod(place, most * SPAN)
-    last = F.when(rest + most >= most * SPAN, at + one).otherwise(at)
-    rows = rows.withColumn("at", F.explode(F.sequence(at, last))).select(F.xxhash64("anchor", "band", "at").alias("key"), "h", "doc_id", "line", "n")
-    # Of cells with the same lines one is enough; one line alone is none. A line that has an anchor twice in a cell counts twice: no harm.
-    sets = rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.count("*").alias("c"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("s"))
-    keep = sets.filter("least <> most").groupBy("c", "least", "most", "s").agg(F.min("key").alias("key")).select("key")
-    return rows.join(keep, "key").dropDuplicates(["key", "h"])
-
-
-def _near_long(texts: DataFrame, shared: DataFrame, near: DataFrame, edit_words: int) -> DataFrame:
-    """h of the long lines with an earlier line within one edit for each edit_words words, besides those in near. texts: first occurrences."""
-    at = F.struct("doc_id", "line", "h")
-    members = texts.select("h", "doc_id", "line", "n", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("places").alias("place"))).alias("x"))
-    members = members.select("h", "doc_id", "line", "n", F.col("x.anchor").alias("anchor"), F.col("x.place").alias("place")).join(shared.withColumnRenamed("key", "anchor"), "anchor")
-    members = written(cells(members, edit_words), "anchored")
-    release(texts.sparkSession)
-    least = members.groupBy("key").agg(F.min(at).alias("least"), F.count("*").alias("all"))
-    todo = members.join(near, "h", "left_anti")
-    found = todo.join(least, "key").filter(at > F.col("least")).select("h", F.col("least.h").alias("other")).distinct()
-    own = texts.select("h", "n", "counts", "words")
-    pairs = found.join(own, "h").join(own.toDF("other", "n2", "counts2", "words2"), "other")
-
-    def close(counts, n, others, ns):
-        """Which of others (rows of counts) may be near: sizes and counts are within the bound."""
-        most = np.minimum(n, ns) // edit_words
-        return (abs(ns - n) <= most) & (abs(others - counts).sum(1) <= 2 * most)
-
-    def rows_of(counts):
-        return np.frombuffer(b"".join(counts), "u1").reshape(-1, BUCKETS).astype("int16")
+    def send(batches):
+        import pyarrow.compute as pc
+
+        for batch in batches:  # as many lines at once as have TOGETHER bytes or so
+            size = np.cumsum(pc.binary_length(batch.column("words")).to_numpy().astype("int64")) // TOGETHER
+            cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if not part.num_rows:
+                    continue
+                key, role, at = variants(part.column("words").to_pylist(), part.column("open").to_numpy())
+                h, doc, line = (part.column(c).fill_null(0).to_numpy() for c in ("h", "doc_id", "line"))
+                line = np.where(part.column("doc_id").is_valid().to_numpy(zero_copy_only=False), line, -1 - line).astype("int32")
+                key = key.view("uint64")
+                yield dealt(key, [key, role.astype("u1"), h.view("uint64")[at], doc[at], line[at]], parts)
+
+    def find(part, columns):
+        import pyarrow as pa
+
+        key, _, h = columns[:3]
+        shared, least, most = least_and_most(key, h)
+        several = shared[least < most]
+        if not len(several):
+            return None
+        at = np.minimum(np.searchsorted(several, key), len(several) - 1)
+        key, role, h, doc, line = (c[several[at] == key] for c in columns)
+        order = _order(doc, line, h, role, key)  # texts has a few later copies of lines, too: the first one counts
+        order = order[_changes(key[order], role[order], h[order])]
+        key, role, h, doc, line = (c[order] for c in (key, role, h, doc, line))
+        out = []
+        # A replaced word meets its like; a whole line meets lines that are it plus a word, and the other way round.
+        for own, met in ((0, 0), (1, 2), (2, 1)):
+            at = np.flatnonzero((role == own) | (role == met))
+            at = at[_order(doc[at], line[at], key[at])]
+            # The earliest line of the role that is met: the first row of that role in the key's run.
+            starts = np.cumsum(_changes(key[at])) - 1
+            first = np.full(starts[-1] + 1 if len(at) else 0, -1)
+            met_at = np.flatnonzero(role[at] == met)[::-1]
+            first[starts[met_at]] = met_at
+            here = np.flatnonzero((role[at] == own) & (first[starts] >= 0) & (first[starts] < np.arange(len(at))))
+            out.append(np.stack([h[at[here]], h[at[first[starts[here]]]]], 1))
+        pairs = np.concatenate(out)
+        pairs = as_long(np.ascontiguousarray(pairs[pairs[:, 0] != pairs[:, 1]].T))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["h", "other"])
+
+    return of_parts(texts.mapInArrow(send, schema(5)), kinds, find, "h long, other long").distinct()
+
+
+def _close(counts, n, others, ns, edit_words: int):
+    """Which of others (rows of counts) may be near: sizes and counts are within the bound."""
+    most = np.minimum(n, ns) // edit_words
+    return (abs(ns - n) <= most) & (abs(others - counts).sum(1) <= 2 * most)
+
+
+def _rows_of(counts) -> np.ndarray:
+    return np.frombuffer(b"".join(counts.to_pylist()), "u1").reshape(-1, BUCKETS).astype("int16")
+
+
+def close_pairs(members: DataFrame, wanted: DataFrame, edit_words: int) -> DataFrame:
+    """h, other, most: lines and the earliest line of one of their cells, where sizes and counts are within the bound of `most` edits."""
+    own = wanted.filter(F.length("cells") > 0).select("h", "n", "counts")
+    pairs = members.filter("h <> other").select("h", "other").distinct()
+    pairs = pairs.join(own, "h").join(own.toDF("other", "n2", "counts2"), "other")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                n, m = batch.column("n").to_numpy().astype("int64"), batch.column("n2").to_numpy().astype("int64")
+                ok = pa.array(_close(_rows_of(batch.column("counts")), n, _rows_of(batch.column("counts2")), m, edit_words))
+                batch = pa.RecordBatch.from_arrays([batch.column("h"), batch.column("other"), pa.array((np.minimum(n, m) // edit_words).astype("int32"))], ["h", "other", "most"])
+                yield batch.filter(ok)
+
+    return pairs.select("h", "other", "n", "counts", "n2", "counts2").mapInArrow(run, "h long, other long, most int")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """h of the pairs (h, other, most) whose words are within `most` edits."""
+    needed = pairs.select(F.explode(F.array("h", "other")).alias("key")).distinct()
+    words = _passing(texts.select("h", "words"), "h", needed)
+    both = pairs.join(words, "h").join(words.toDF("other", "words2"), "other")
 
     def verify(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            if len(batch):
-                n, m = batch["n"].to_numpy("int64"), batch["n2"].to_numpy("int64")
-                ok = close(rows_of(batch["counts"]), n, rows_of(batch["counts2"]), m)
-                for x in np.flatnonzero(ok).tolist():
-                    ok[x] = within_edits(batch["words"].iloc[x].split(), batch["words2"].iloc[x].split(), int(min(n[x], m[x])) // edit_words)
-                yield batch.loc[ok, ["h"]]
-
-    one = written(pairs.select("h", "n", "counts", "words", "n2", "counts2", "words2").mapInPandas(verify, "h long").distinct(), "near-first")
-    # The others under an anchor; where there are but two lines, they have been compared.
-    todo = todo.join(one, "h", "left_anti").withColumn("probe", F.lit(True))
-    both = todo.unionByName(members.withColumn("probe", F.lit(False))).join(least.filter("all > 2").select("key"), "key")
+            rows = zip(batch.column("words").to_pylist(), batch.column("words2").to_pylist(), batch.column("most").to_pylist(), strict=True)
+            ok = [within_one_edit(a.split(), b.split()) if most == 1 else within_edits(a.split(), b.split(), most) for a, b, most in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(ok, pa.bool_()))], ["h"])
+
+    return both.select("h", "words", "words2", "most").mapInArrow(verify, "h long").distinct()
+
+
+def near_others(members: DataFrame, wanted: DataFrame, texts: DataFrame, near: DataFrame, edit_words: int) -> DataFrame:
+    """h of the long lines that aren't near and have an earlier line, not the earliest of a cell, within one edit for each edit_words words.
+
+    Blocks with few pairs within the bounds of sizes and counts yield them; in the others that would be a table as large as the
+    square of a cell, so their lines are compared where they lie.
+    """
+    # Where there are but two lines, they have been compared.
     order = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
-    both = both.select("key", "probe", "h", order, "line").join(texts.select("h", "n", "counts"), "h")
+    members = members.filter("all > 2").select("key", "h", order, "line")
+    both = members.join(near, "h", "left_anti").withColumn("probe", F.lit(True)).unionByName(members.withColumn("probe", F.lit(False)))
+    own = wanted.filter(F.length("cells") > 0)
+    both = both.join(own.select("h", "n", "counts"), "h")
 
     def near_pairs(block, p, t):
         """Which targets of each probe are earlier lines with sizes and counts within the bound."""
@@ -415,90 +649,60 @@ def _near_long(texts: DataFrame, shared: DataFrame, near: DataFrame, edit_words:
         return ok
 
     def candidates(block, p, t):
-        """The rows that have one on the other side."""
-        ok, key, h = near_pairs(block, p, t), block["key"], block["h"]
-        return [(key[x], True, h[x]) for x in p[ok.any(1)].tolist()] + [(key[x], False, h[x]) for x in t[ok.any(0)].tolist()]
-
-    flagged = written(_blocks(both, candidates, [("key", "long"), ("probe", "boolean"), ("h", "long")]).distinct(), "candidates")
-    both = flagged.join(texts.select("h", order, "line", "n", "counts", "words"), "h")
+        ok, n, key, h = near_pairs(block, p, t), block["n"], block["key"], block["h"]
+        probes, targets = p[ok.any(1)], t[ok.any(0)]
+        if ok.sum() > DENSE * (len(probes) + len(targets)):
+            return [(key[x], True, h[x], None, None) for x in probes.tolist()] + [(key[x], False, h[x], None, None) for x in targets.tolist()]
+        x, y = np.nonzero(ok)
+        most = np.minimum(n[p[x]], n[t[y]]) // edit_words
+        return [(None, None, *r) for r in zip(h[p[x]].tolist(), h[t[y]].tolist(), most.tolist(), strict=True)]
+
+    fields = [("key", "long"), ("probe", "boolean"), ("h", "long"), ("other", "long"), ("most", "int")]
+    found = written(_blocks(both, candidates, fields).distinct(), "candidates")
+    some = _verified(found.filter("other is not null").select("h", "other", "most"), texts)
+    dense = found.filter("other is null").select("key", "probe", "h")
+    if dense.isEmpty():
+        return some
+    words = texts.select("h", "words").join(dense.select("h").distinct(), "h").dropDuplicates(["h"])
+    both = dense.join(own.select("h", order, "line", "n", "counts").join(words, "h"), "h")
 
     def confirmed(block, p, t):
         ok, n, words, out = near_pairs(block, p, t), block["n"], block["words"], []
         for x in np.flatnonzero(ok.any(1)).tolist():
-            own = words[p[x]].split()
-            if any(within_edits(own, words[t[y]].split(), int(min(n[p[x]], n[t[y]])) // edit_words) for y in np.flatnonzero(ok[x]).tolist()):
+            one = words[p[x]].split()
+            if any(within_edits(one, words[t[y]].split(), int(min(n[p[x]], n[t[y]])) // edit_words) for y in np.flatnonzero(ok[x]).tolist()):
                 out.append((block["h"][p[x]],))
         return out
 
-    return written(one.unionByName(_blocks(both, confirmed, [("h", "long")])).distinct(), "near-long")
+    return some.unionByName(_blocks(both, confirmed, [("h", "long")])).distinct()
 
 
 def removable(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int = EDIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line of every line to remove."""
+    spark, least = docs.sparkSession, 2 * edit_words
     lines = written(line_table(docs, id_col, text_col, min_words, near_words, edit_words), "lines")
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
-    first = written(first.select("h", F.col("n").alias("copies"), "at.doc_id", "at.line"), "first-lines")
-
-    def of_several(column, name):
-        keyed = lines.select("h", F.explode(column).alias("key")).filter("key is not null")
-        return written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key"), name)
-
-    shared = of_several(F.array(*KEYS), "shared")
-    release(docs.sparkSession)
-    anchors = of_several(F.col("anchors"), "shared-anchors")
-    release(docs.sparkSession)
-    some = _with_shared(lines, shared, anchors).alias("l").join(first.alias("r"), _same_line("l", "r"), "left_semi")
-    wanted = written(some.dropDuplicates(["h"]), "wanted")
-    body = _texts(docs, wanted, id_col, text_col).alias("l").join(wanted.alias("r"), _same_line("l", "r")).select("r.*", "l.words", "l.counts")
-    texts = written(body.dropDuplicates(["h"]), "texts")
-    drop(wanted)
-    drop(shared)
-    # From here on only the lines' places are needed, not their keys.
-    whole, lines = lines, written(lines.select("h", "doc_id", "line"), "line-places")
-    drop(whole)
-    release(docs.sparkSession)
-
-    def emit(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        for batch in batches:  # as many lines at once as have TOGETHER bytes or so
-            size = np.cumsum(pc.binary_length(batch.column("words")).to_numpy().astype("int64")) // TOGETHER
-            cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                if not part.num_rows:
-                    continue
-                keys, roles, at = variants(part.column("words").to_pylist(), part.column("open").to_numpy())
-                columns, at = [pa.array(keys), pa.array(roles)], pa.array(at)
-                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c).take(at) for c in ("h", "doc_id", "line"))], ["key", "role", "h", "doc_id", "line"])
-
-    rows = written(texts.filter("open <> 0").select("words", "open", "h", "doc_id", "line").mapInArrow(emit, "key long, role int, h long, doc_id long, line int"), "variants")
-    # Of a variant's lines the earliest counts; a variant of one line alone is of no use.
-    several = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    both, rows = rows, written(rows.join(several, "key"), "shared-variants")
-    drop(both)
-    release(docs.sparkSession)
-    at = F.struct("doc_id", "line", "h")
-    least = rows.groupBy("key", "role").agg(F.min(at).alias("least"))
-    # A replaced word meets its like; a whole line meets lines that are it plus a word, and the other way round.
-    least = least.withColumn("role", F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role")))
-    found = rows.join(least, ["key", "role"]).filter(at > F.col("least")).select("h", F.col("least.h").alias("other")).distinct()
-    words = texts.select("h", "words")
-    pairs = found.join(words, "h").join(words.toDF("other", "words2"), "other")
-
-    def verify(batches):
-        for batch in batches:
-            ok = [within_one_edit(a.split(), b.split()) for a, b in zip(batch["words"].tolist(), batch["words2"].tolist(), strict=True)]
-            yield batch.loc[ok, ["h"]]
-
-    near = written(pairs.select("h", "words", "words2").mapInPandas(verify, "h long").distinct().withColumn("near", F.lit(True)), "near-lines")
-    drop(rows)
-    release(docs.sparkSession)
-    near = near.unionByName(_near_long(texts.filter(F.size("anchors") > 0), anchors, near, edit_words).withColumn("near", F.lit(True)))
-    changed = first.join(near, "h", "left").filter("copies > 1 or near").select("h", F.struct("doc_id", "line").alias("first"), "near")
-    again = ~F.struct(F.col("doc_id"), F.col("line")).eqNullSafe(F.col("first"))
-    return lines.select("h", "doc_id", "line").join(changed, "h").filter(F.col("near").isNotNull() | again).select("doc_id", "line")
+    total = lines.select(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_lines", "n_keys", "n_cells")]).first()
+    again = written(repeats(lines, parts_for(total["n_lines"])), "repeats")
+
+    blocks, kinds = _of(lines, "h", "n", "keys")
+    keys = shared_keys(blocks, kinds, lambda h, n, k: (k.ravel(), np.repeat(h[(n >= near_words) & (n <= least)], 6)), parts_for(6 * total["n_keys"]), MOST_BITS)
+    release(spark)
+    blocks, kinds = _of(lines, "h", "n", "cells", "sizes")
+    shared = shared_keys(blocks, kinds, lambda h, n, k, sizes: (k, np.repeat(h[n >= least], sizes)), parts_for(total["n_cells"]), MOST_BITS)
+    release(spark)
+    wanted = written(with_shared(lines, keys, shared, near_words, least, parts_for(total["n_lines"])), "wanted")
+    drop(lines)
+    members = written(anchored(wanted, parts_for(total["n_cells"] // 4)), "anchored")
+    release(spark)
+    pairs = written(close_pairs(members, wanted, edit_words), "close-pairs")
+    hs = pairs.select(F.explode(F.array("h", "other")).alias("h")).unionByName(members.filter("all > 2").select("h")).distinct()
+    places = wanted.select("h", "doc_id", "line", "open").join(hs.withColumn("long", F.lit(True)), "h", "left").filter("open <> 0 or long").select("doc_id", "line")
+    texts = written(_texts(docs, written(places, "places"), keys, near_words, least, id_col, text_col), "texts")
+    release(spark)
+    one = one_edit_pairs(texts.filter("open <> 0"), parts_for(total["n_keys"]))
+    near = written(_verified(written(pairs.unionByName(one.withColumn("most", F.lit(1))), "pairs"), texts), "near-first")
+    near = near.unionByName(near_others(members, wanted, texts, near, edit_words))
+    return again.unionByName(wanted.select("h", "doc_id", "line").join(near, "h", "left_semi").select("doc_id", "line"))
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edit_words: int = EDIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -526,7 +730,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, near_words: int
     gone = written(gone, "gone-lines")
     release(docs.sparkSession)
     # Always a shuffled join: the list of lines grows with the input, and small inputs shall take the same way.
-    joined = docs.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: F.substr("__gone", i + 1, F.lit(1)) != F.lit(b"\x01")), "\n")
     return joined.select(
