@@ -394,9 +394,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, keys: Filter, near_words: int, le
 
         words, keys = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                texts = [t or "" for t in batch.column(1).slice(lo, 500).to_pylist()]
-                ids = batch.column(0).slice(lo, 500)
+            for lo in range(0, batch.num_rows, 200):
+                texts = [t or "" for t in batch.column(1).slice(lo, 200).to_pylist()]
+                ids = batch.column(0).slice(lo, 200)
                 size = np.array([t.count("\n") + 1 for t in texts])
                 line = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 at = np.repeat(np.arange(len(texts)), size)
@@ -609,7 +609,7 @@ def close_pairs(members: DataFrame, wanted: DataFrame, edit_words: int) -> DataF
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """h of the pairs (h, other, most) whose words are within `most` edits."""
     needed = pairs.select(F.explode(F.array("h", "other")).alias("key")).distinct()
-    words = _passing(texts.select("h", "words"), "h", needed)
+    words = written(_passing(texts.select("h", "words"), "h", needed), "words")  # so that no task has two Python workers
     both = pairs.join(words, "h").join(words.toDF("other", "words2"), "other")
 
     def verify(batches):

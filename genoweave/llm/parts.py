@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 #: Values of a part, about; parts; bytes of blocks dealt out together.
-PER_PART, MOST_PARTS, TOGETHER = 1 << 18, 1 << 15, 1 << 24
+PER_PART, MOST_PARTS, TOGETHER = 1 << 18, 1 << 15, 1 << 22
 
 
 def parts_for(values: int) -> int:
